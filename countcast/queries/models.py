@@ -164,15 +164,6 @@ def category_index(spark, path):
     return features.label_table(facts, features.fit_features(facts, HEADCOUNT, "tree"))
 
 
-def _slot_sql(offset_of: str, value: str, extra: str) -> str:
-    parts = [
-        f"select {_CELL_DIMS}, cast({offset_of.format(d=d, i=i)} as integer) as slot, cast({value} as double) as weight "
-        f"from cells join indexed on dimension = '{d}' and value = {d}"
-        for i, d in enumerate(CELLS.dims)
-    ]
-    return " union all ".join([*parts, extra])
-
-
 def _offset(i: int) -> str:
     before = ", ".join(f"'{d}'" for d in CELLS.dims[:i])
     return f"(select count(*) from indexed where dimension in ({before}))" if i else "0"
