@@ -31,20 +31,32 @@ def with_labels(df: DataFrame, spec: CountSpec) -> DataFrame:
     )
 
 
-def feature_stages(spec: CountSpec, kind: Kind) -> list:
-    """Stages for one kind of model; both kinds start with the same indexer.
+def fit_indexer(df: DataFrame, spec: CountSpec) -> StringIndexerModel | None:
+    """Labels of all dimensions from one job, however many dimensions there are.
 
-    One multi-column stage each: the indexer's labels come from a single job however many
-    dimensions there are. Most frequent label first, ties in alphabetical order; unseen
-    labels keep an index of their own, which the one-hot block drops to all zeros. Trees
-    take the indexes directly and treat each as one categorical feature.
+    Most frequent label first, ties in alphabetical order; unseen labels keep an index of
+    their own.
+    """
+    if not spec.dims:
+        return None
+    indexes = [f"{d}_idx" for d in spec.dims]
+    return StringIndexer(inputCols=list(spec.dims), outputCols=indexes, handleInvalid="keep").fit(df)
+
+
+def feature_stages(spec: CountSpec, kind: Kind, indexer: StringIndexerModel | None = None) -> list:
+    """Stages for one kind of model. Both kinds start with the same indexer, which may be
+    passed in already fitted.
+
+    Linear models get one-hot blocks, where an unseen label is all zeros. Trees take the
+    indexes directly and treat each as one categorical feature.
     """
     indexes = [f"{d}_idx" for d in spec.dims]
     year = [] if spec.year_dim is None else ["numeric_year"]
     stages: list = []
     inputs = indexes
     if spec.dims:
-        stages.append(StringIndexer(inputCols=list(spec.dims), outputCols=indexes, handleInvalid="keep"))
+        unfitted = StringIndexer(inputCols=list(spec.dims), outputCols=indexes, handleInvalid="keep")
+        stages.append(indexer or unfitted)
         if kind == "linear":
             inputs = [f"{d}_ohe" for d in spec.dims]
             stages.append(OneHotEncoder(inputCols=indexes, outputCols=inputs))
@@ -52,8 +64,11 @@ def feature_stages(spec: CountSpec, kind: Kind) -> list:
     return stages
 
 
-def fit_features(df: DataFrame, spec: CountSpec, kind: Kind) -> PipelineModel:
-    return Pipeline(stages=feature_stages(spec, kind)).fit(df)
+def fit_features(
+    df: DataFrame, spec: CountSpec, kind: Kind, indexer: StringIndexerModel | None = None
+) -> PipelineModel:
+    """With a fitted indexer this reads no data: block widths come from its labels."""
+    return Pipeline(stages=feature_stages(spec, kind, indexer)).fit(df)
 
 
 def indexer_of(model: PipelineModel) -> StringIndexerModel | None:

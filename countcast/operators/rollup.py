@@ -32,9 +32,9 @@ def total_by(
     return totals.orderBy(*dims) if by_key else totals.orderBy(F.desc("total"), *dims)
 
 
-def top_by(df: DataFrame, spec: CountSpec, dim: str, k: int = 15) -> DataFrame:
+def top_by(df: DataFrame, spec: CountSpec, *dims: str, k: int = 15) -> DataFrame:
     """The ``k`` values with the largest totals; sort and limit run as one top-k step."""
-    return total_by(df, spec, dim).limit(k)
+    return total_by(df, spec, *dims).limit(k)
 
 
 def pivot_totals(df: DataFrame, spec: CountSpec, rows: str, columns: str, values: Sequence[str]) -> DataFrame:

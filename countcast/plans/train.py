@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.param import Param
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -18,15 +18,15 @@ from countcast.operators.features import (
     Kind,
     feature_stages,
     fit_features,
+    fit_indexer,
     largest_arity,
     with_labels,
-    with_year,
 )
 from countcast.operators.metrics import regression_metrics, with_best
 from countcast.operators.split import split, with_fold
 from countcast.plans.score import apply_models, stack_predictions
 from countcast.spec import CountSpec
-from countcast.workspace import shared_root, stored
+from countcast.workspace import stored
 
 LINEAR = "Linear Regression"
 FOREST = "Random Forest"
@@ -48,6 +48,9 @@ SMALL_GRIDS = {
     FOREST: {"numTrees": [10], "maxDepth": [3, 6]},
     BOOSTED: {"maxIter": [8], "maxDepth": [3], "stepSize": [0.1, 0.3]},
 }
+# Megabytes of statistics a task may hold while growing trees. More means more tree nodes
+# per pass over the data and so fewer passes; the trees are the same.
+NODE_MEMORY = 1024
 GRIDS = {"reference": REFERENCE_GRIDS, "small": SMALL_GRIDS}
 
 ParamMaps = list[dict[Param, object]]
@@ -89,9 +92,10 @@ def param_grid(estimator: Estimator, values: Mapping[str, Sequence[object]]) ->
 def candidates(preset: str = "reference") -> list[Candidate]:
     """Elastic-net regression on one-hot features; forest and boosted trees on indexes."""
     columns = {"featuresCol": "features", "labelCol": "label"}
+    trees = {"maxBins": MAX_BINS, "maxMemoryInMB": NODE_MEMORY, "seed": SEED, **columns}
     linear = LinearRegression(maxIter=100, **columns)
-    forest = RandomForestRegressor(featureSubsetStrategy="sqrt", maxBins=MAX_BINS, seed=SEED, **columns)
-    boosted = GBTRegressor(subsamplingRate=0.8, maxBins=MAX_BINS, seed=SEED, **columns)
+    forest = RandomForestRegressor(featureSubsetStrategy="sqrt", **trees)
+    boosted = GBTRegressor(subsamplingRate=0.8, **trees)
     grids = GRIDS[preset]
     return [
         Candidate(LINEAR, "linear", linear, param_grid(linear, grids[LINEAR])),
@@ -114,8 +118,16 @@ class KeyFoldValidator(CrossValidator):
         ]
 
 
-def _validator(estimator: Estimator, grid: ParamMaps, folds: int, parallelism: int) -> KeyFoldValidator:
-    return KeyFoldValidator(
+def tune(
+    estimator: Estimator, grid: ParamMaps, rows: DataFrame, folds: int, parallelism: int
+) -> tuple[Model, list[float]]:
+    """Best setting by mean fold error, refitted on all rows; and each setting's error.
+
+    A single setting needs no search and is fitted directly.
+    """
+    if len(grid) == 1:
+        return estimator.fit(rows, grid[0]), []
+    validator = KeyFoldValidator(
         estimator=estimator,
         estimatorParamMaps=grid,
         evaluator=RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="rmse"),
@@ -124,50 +136,65 @@ def _validator(estimator: Estimator, grid: ParamMaps, folds: int, parallelism: i
         parallelism=parallelism,
         seed=SEED,
     )
+    tuned = validator.fit(rows)
+    return tuned.bestModel, list(tuned.avgMetrics)
 
 
-def fit_candidate(
+def fit_candidates(
     train_rows: DataFrame,
     spec: CountSpec,
-    candidate: Candidate,
+    models: Sequence[Candidate],
     folds: int = FOLDS,
     parallelism: int = 2,
     refit_features: bool = False,
-) -> tuple[PipelineModel, list[float]]:
-    """Tune and fit one candidate on labelled rows with a ``fold`` column.
+) -> dict[str, tuple[PipelineModel, list[float]]]:
+    """Tune and fit candidates on labelled rows with a ``fold`` column.
 
-    Features are fitted once and kept in memory for all grid points and folds; labels of
-    the indexer carry no target information. ``refit_features`` tunes the whole chain per
-    fold instead. Returns the fitted chain (raw columns to prediction) and the mean fold
-    error of each grid point (none when there is a single point to choose from).
+    Category labels are learned once per set of dimensions, and candidates wanting the
+    same features share one in-memory copy for all their settings and folds; labels carry
+    no target information. ``refit_features`` tunes each whole chain per fold instead.
+    Returns fitted chains (raw columns to prediction) with their settings' fold errors.
     """
-    scope = candidate.scope or spec
-    tune = len(candidate.grid) > 1
     if refit_features:
-        stages = [*feature_stages(scope, candidate.kind), candidate.estimator]
-        pipeline = Pipeline(stages=stages)
-        if not tune:
-            return pipeline.fit(train_rows, candidate.grid[0]), []
-        tuned = _validator(pipeline, candidate.grid, folds, parallelism).fit(train_rows)
-        return tuned.bestModel, list(tuned.avgMetrics)
-
-    features = fit_features(train_rows, scope, candidate.kind)
-    estimator = candidate.estimator
-    if estimator.hasParam("maxBins"):
-        # A tree needs a bin per label and one for the unseen bucket.
-        bins = max(estimator.getOrDefault("maxBins"), largest_arity(features) + 1)
-        estimator = estimator.copy({estimator.getParam("maxBins"): bins})
-    ready = features.transform(train_rows).select("features", "label", "fold")
-    ready.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if tune:
-            tuned = _validator(estimator, candidate.grid, folds, parallelism).fit(ready)
-            regressor, errors = tuned.bestModel, list(tuned.avgMetrics)
-        else:
-            regressor, errors = estimator.fit(ready, candidate.grid[0]), []
-    finally:
-        ready.unpersist()
-    return PipelineModel(stages=[*features.stages, regressor]), errors
+        return {
+            c.name: tune(
+                Pipeline(stages=[*feature_stages(c.scope or spec, c.kind), c.estimator]),
+                c.grid, train_rows, folds, parallelism,
+            )
+            for c in models
+        }
+    fitted: dict[str, tuple[PipelineModel, list[float]]] = {}
+    indexers = {scope: fit_indexer(train_rows, scope) for scope in {c.scope or spec for c in models}}
+    shared: dict[tuple[CountSpec, Kind], list[Candidate]] = {}
+    for c in models:
+        shared.setdefault((c.scope or spec, c.kind), []).append(c)
+    for (scope, kind), group in shared.items():
+        features = fit_features(train_rows, scope, kind, indexers[scope])
+        ready = features.transform(train_rows).select("features", "label", "fold")
+        ready.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            for c in group:
+                estimator = with_bins(c.estimator, largest_arity(features) + 1)
+                regressor, errors = tune(estimator, c.grid, ready, folds, parallelism)
+                fitted[c.name] = PipelineModel(stages=[*features.stages, regressor]), errors
+        finally:
+            ready.unpersist()
+    return {c.name: fitted[c.name] for c in models}
+
+
+def with_bins(estimator: Estimator, needed: int) -> Estimator:
+    """A tree needs a bin per label and one for the unseen bucket."""
+    if not estimator.hasParam("maxBins") or estimator.getOrDefault("maxBins") >= needed:
+        return estimator
+    return estimator.copy({estimator.getParam("maxBins"): needed})
+
+
+def prepare(facts: DataFrame, spec: CountSpec, keys: Sequence[str], folds: int) -> DataFrame:
+    """Rows fit for training: no null key or target, a usable year, a label and a fold."""
+    rows = with_labels(facts.dropna(subset=list(keys)), spec)
+    if spec.year_dim is not None:
+        rows = rows.filter("numeric_year is not null")
+    return with_fold(rows, keys, folds)
 
 
 def train(
@@ -188,31 +215,22 @@ def train(
     """
     spark = facts.sparkSession
     keys = list(keys or spec.dims)
-    shared_root(spark)
-    rows = with_fold(with_labels(facts, spec).dropna(subset=keys), keys, folds)
-    if spec.year_dim is not None:
-        rows = rows.filter("numeric_year is not null")
-    labelled = stored(rows.drop("numeric_year"), "training")
+    labelled = stored(prepare(facts, spec, keys, folds), "training")
     train_rows, test_rows = split(labelled, keys, train_percent)
-    train_rows = with_year(train_rows, spec)
-
-    fitted: dict[str, PipelineModel] = {}
-    tuning: list[tuple[str, str, float]] = []
-    for candidate in models:
-        model, errors = fit_candidate(train_rows, spec, candidate, folds, parallelism, refit_features)
-        fitted[candidate.name] = model
-        for settings, error in zip(candidate.grid, errors):
-            text = ", ".join(f"{p.name}={v}" for p, v in sorted(settings.items(), key=lambda kv: kv[0].name))
-            tuning.append((candidate.name, text, float(error)))
-
-    scored, columns = apply_models(test_rows, spec, fitted)
+    fitted = fit_candidates(train_rows, spec, models, folds, parallelism, refit_features)
+    chains = {name: chain for name, (chain, _) in fitted.items()}
+    tuning = [
+        (c.name, describe_settings(settings), float(error))
+        for c in models
+        for settings, error in zip(c.grid, fitted[c.name][1])
+    ]
+    scored, columns = apply_models(test_rows, spec, chains)
     measured = with_best(regression_metrics(scored, columns)).collect()  # one row per model
-    metrics = spark.createDataFrame(
-        measured, "model string, rmse double, r2 double, mae double, is_best boolean"
-    )
     return TrainingRun(
-        models=fitted,
-        metrics=metrics,
+        models=chains,
+        metrics=spark.createDataFrame(
+            measured, "model string, rmse double, r2 double, mae double, is_best boolean"
+        ),
         tuning=spark.createDataFrame(tuning, "model string, params string, log_rmse double"),
         test=test_rows,
         spec=spec,
@@ -220,6 +238,10 @@ def train(
     )
 
 
+def describe_settings(settings: dict[Param, object]) -> str:
+    return ", ".join(f"{p.name}={v}" for p, v in sorted(settings.items(), key=lambda kv: kv[0].name))
+
+
 def feature_importance(spark: SparkSession, model: PipelineModel, spec: CountSpec) -> DataFrame:
     """``(feature, importance)`` of a tree model, least important first.
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from countcast import functions
 from countcast.operators import features, metrics
 from countcast.operators.split import fold_sizes, in_training
 from countcast.plans import train
@@ -130,13 +131,32 @@ _LABELS = f"""select {_DIMS}, round(ln(1 + headcount), 6) as label, cast(headcou
 
 
 @query("M6_labels", _LABELS)
-@query("X3_log_label", _LABELS)
-@query("X7_count_as_double", _LABELS)
 def labels(spark, path):
     labelled = features.with_labels(headcount(spark, path), HEADCOUNT)
     return labelled.select(*HEADCOUNT.dims, *round6("label"), "original_label", "numeric_year")
 
 
+@query(
+    "X3_log_label",
+    "select l_orderkey, l_linenumber, l_extendedprice, round(ln(1 + l_quantity), 6) as label from lineitem",
+)
+def log_label(spark, path):
+    lines = spark.read.parquet(f"{path}/lineitem.parquet")
+    return lines.select(
+        "l_orderkey", "l_linenumber", "l_extendedprice",
+        F.round(functions.log_label(F.col("l_quantity")), 6).alias("label"),
+    )
+
+
+@query(
+    "X7_count_as_double",
+    "select cast(headcount as double) as original_label, 1.0::double as one, count(*) as rows from headcount group by 1",
+)
+def count_as_double(spark, path):
+    counts = features.with_labels(headcount(spark, path), HEADCOUNT)
+    return counts.groupBy("original_label", F.lit(1.0).alias("one")).agg(F.count("*").alias("rows"))
+
+
 @query("F3_feature_columns", f"select * from (values {', '.join(f'({i}, {d!r})' for i, d in enumerate(HEADCOUNT.dims))}) as f(position, feature) where exists (select 1 from headcount)")
 def feature_columns(spark, path):
     """All columns but the target, with the fact table deciding which columns there are."""
@@ -303,13 +323,40 @@ def _rounded_pairs(stacked):
     return stacked.select(*CELLS.dims, "original_label", "model", *round6("final_prediction"))
 
 
-@query("J3_predictions_with_actuals", _PAIRS, ctes=_TEST)
-@query("L8_inverse_and_floor", _PAIRS, ctes=_TEST)
 @query("L13_predictions_of_all_models", _PAIRS, ctes=_TEST)
 def test_predictions(spark, path):
     return _rounded_pairs(closed_form_run(spark, path).predictions())
 
 
+@query(
+    "J3_predictions_with_actuals",
+    f"""select {_CELL_DIMS}, original_label, round(final_prediction, 6) as final_prediction
+from pairs where model = '{train.BOOSTED}'""",
+    ctes=_TEST,
+)
+def predictions_with_actuals(spark, path):
+    """The label travels through the model with its row; nothing is joined."""
+    run = closed_form_run(spark, path)
+    scored, columns = apply_models(run.test, run.spec, {train.BOOSTED: run.models[train.BOOSTED]})
+    prediction = F.round(columns[train.BOOSTED], 6).alias("final_prediction")
+    return scored.select(*CELLS.dims, "original_label", prediction)
+
+
+@query(
+    "L8_inverse_and_floor",
+    f"""select {_CELL_DIMS}, round(p, 6) as prediction, round(greatest(exp(p) - 1, 1.0), 6) as final_prediction
+from test join forest using (term_type, attendance)""",
+    ctes=_TEST,
+)
+def inverse_and_floor(spark, path):
+    run = closed_form_run(spark, path)
+    in_log_space = run.models[train.FOREST].transform(run.test)
+    back = functions.count_prediction(F.col("prediction"))
+    return in_log_space.select(
+        *CELLS.dims, *round6("prediction"), F.round(back, 6).alias("final_prediction")
+    )
+
+
 @query(
     "L13_calibration_bins",
     """select model, cast(floor(final_prediction / 50) as bigint) as bin, count(*) as rows,
@@ -348,7 +395,6 @@ _BEST = "select arg_max(model, r2) as model from measured"
 
 
 @query("K4_best_model", _BEST, ctes=_TEST)
-@query("L11_best_model", _BEST, ctes=_TEST)
 def best_model(spark, path):
     return metrics.best_model(closed_form_run(spark, path).metrics)
 
@@ -388,6 +434,26 @@ def latest_run_wins(spark, path):
     return _registry_rows(registry.read_registry(spark, root))
 
 
+@query("L11_best_saved_model", _BEST, ctes=_TEST)
+def best_saved_model(spark, path):
+    """The best model as a reader of the saved registry sees it."""
+    saved = registry.read_registry(spark, _saved(spark, path))
+    return saved.filter("is_best").select("model")
+
+
+@query(
+    "W3_chosen_model",
+    f"""select 'no name' as requested, arg_max(model, r2) as chosen from measured
+union all select model, model from measured""",
+    ctes=_TEST,
+)
+def chosen_model(spark, path):
+    saved = registry.read_registry(spark, _saved(spark, path))
+    names = [None, train.LINEAR, train.FOREST, train.BOOSTED]
+    rows = [(name or "no name", registry.choose_model(saved, name)[0]) for name in names]
+    return spark.createDataFrame(rows, "requested string, chosen string")
+
+
 @query("S6_registry_written", _REGISTRY, ctes=_TEST)
 def registry_written(spark, path):
     root = scratch_path(spark, "registry")
@@ -441,7 +507,16 @@ def gradient_boosted(spark, path):
     return _tuned_predictions(spark, path, train.BOOSTED)
 
 
-@query("L5_grid_points")
+@query(
+    "L5_grid_points",
+    f"""select * from (values ('{train.LINEAR}', 2), ('{train.FOREST}', 2), ('{train.BOOSTED}', 2)) as g(model, points)""",
+)
+def grid_points(spark, path):
+    """Settings tried per model in the small search."""
+    tried = tuned_run(spark, path).tuning.groupBy("model")
+    return tried.agg(F.count("*").cast("int").alias("points"))
+
+
 @query("L6_cross_validation")
 def cross_validation(spark, path):
     return tuned_run(spark, path).tuning
@@ -457,12 +532,11 @@ def _importance(spark, path, name):
     return train.feature_importance(spark, run.models[name], run.spec)
 
 
-@query("K3_importances_ascending")
 @query("L12_forest_importance")
 def forest_importance(spark, path):
     return _importance(spark, path, train.FOREST)
 
 
-@query("L12_boosted_importance")
+@query("K3_boosted_importance_ascending")
 def boosted_importance(spark, path):
     return _importance(spark, path, train.BOOSTED)

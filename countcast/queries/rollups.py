@@ -85,9 +85,17 @@ from headcount group by 1 order by total desc, program_grouping limit 15"""
 
 
 @query("A5_what_top_programs", _TOP)
-@query("K2_top_15_programs", _TOP)
 def top_programs(spark, path):
-    return rollup.top_by(order_lines(spark, path), HEADCOUNT, "program_grouping", 15)
+    return rollup.top_by(order_lines(spark, path), HEADCOUNT, "program_grouping", k=15)
+
+
+@query(
+    "K2_top_15_campus_programs",
+    """select campus, program_grouping, cast(sum(headcount) as bigint) as total
+from headcount group by 1, 2 order by total desc, campus, program_grouping limit 15""",
+)
+def top_campus_programs(spark, path):
+    return rollup.top_by(order_lines(spark, path), HEADCOUNT, "campus", "program_grouping", k=15)
 
 
 @query(

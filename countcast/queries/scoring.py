@@ -17,7 +17,7 @@ from countcast.queries.models import (
 )
 from countcast.queries.profiles import REQUEST_ID_SQL
 from countcast.sources.facts import request_table
-from countcast.sources.star import headcount, order_lines, table
+from countcast.sources.star import order_lines, table
 from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS
 from countcast.streaming import request_stream, score_stream, start_scoring
 from countcast.workspace import scratch_path
@@ -33,7 +33,7 @@ replies as ({predictions_sql("requests", f"request_id, {_DIMS}")})"""
 
 
 def _requests(spark, path):
-    return request_table(headcount(spark, path), HEADCOUNT)
+    return request_table(order_lines(spark, path), HEADCOUNT)
 
 
 def _best(run):
@@ -49,13 +49,30 @@ from replies where model = {_BEST_MODEL}"""
 
 
 @query("W2_score_request_table", _BEST_REPLIES, ctes=_REQUESTS)
-@query("F4_echo_of_inputs", _BEST_REPLIES, ctes=_REQUESTS)
-@query("W3_best_model_by_default", _BEST_REPLIES, ctes=_REQUESTS)
-@query("X6_two_decimals", _BEST_REPLIES, ctes=_REQUESTS)
 def score_request_table(spark, path):
     return _best(closed_form_run(spark, path)).predict_table(_requests(spark, path))
 
 
+@query(
+    "F4_echo_of_inputs",
+    f"select {_DIMS}, round(final_prediction, 6) as final_prediction from replies where model = '{train.BOOSTED}'",
+    ctes=_REQUESTS,
+)
+def echo_of_inputs(spark, path):
+    model = closed_form_run(spark, path).models[train.BOOSTED]
+    scored = score.score(_requests(spark, path), ALL_DIMS, model)
+    return scored.select(*HEADCOUNT.dims, *round6("final_prediction"))
+
+
+@query(
+    "X6_two_decimals",
+    "select l_orderkey, l_linenumber, l_extendedprice, round(l_extendedprice / 7, 2) as rounded from lineitem",
+)
+def rounded_to_cents(spark, path):
+    rounded = two_decimals(F.col("l_extendedprice") / 7).alias("rounded")
+    return table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", rounded)
+
+
 @query(
     "W3_named_model",
     f"""select request_id, {_DIMS}, round(final_prediction, 2) as predicted_headcount
@@ -68,7 +85,8 @@ def named_model(spark, path):
 
 @query("K5_replies_in_request_order", _BEST_REPLIES, ctes=_REQUESTS)
 def replies_in_order(spark, path):
-    return score.in_request_order(_best(closed_form_run(spark, path)).predict_table(_requests(spark, path)))
+    ordered = score.in_request_order(_requests(spark, path))
+    return _best(closed_form_run(spark, path)).predict_table(ordered)
 
 
 @query("S9_replies_written", _BEST_REPLIES, ctes=_REQUESTS)
@@ -152,17 +170,24 @@ def valid_requests_scored(spark, path):
     return replies.select("request_id", "predicted_headcount")
 
 
-_INVERSE = """select l_orderkey, l_linenumber, l_extendedprice,
-  round(greatest(exp(l_quantity / 10 - 1) - 1, 1.0), 6) as final_prediction from lineitem"""
+@query(
+    "X4_inverse_of_log",
+    """select l_orderkey, l_linenumber, l_extendedprice, round(exp(l_quantity / 10) - 1, 6) as back from lineitem""",
+)
+def inverse_of_log(spark, path):
+    back = F.round(F.expm1(F.col("l_quantity") / 10), 6).alias("back")
+    return table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", back)
 
 
-@query("X4_inverse_of_log", _INVERSE)
-@query("X5_floor_of_one", _INVERSE)
-def inverse_of_log(spark, path):
+@query(
+    "X5_floor_of_one",
+    """select l_orderkey, l_linenumber, l_extendedprice,
+  round(greatest(exp(l_quantity / 10 - 1) - 1, 1.0), 6) as final_prediction from lineitem""",
+)
+def floor_of_one(spark, path):
     """Quantities as if they were log-space predictions; small ones meet the floor."""
-    back = count_prediction(F.col("l_quantity") / 10 - 1)
-    lines = table(spark, path, "lineitem")
-    return lines.select("l_orderkey", "l_linenumber", "l_extendedprice", F.round(back, 6).alias("final_prediction"))
+    back = F.round(count_prediction(F.col("l_quantity") / 10 - 1), 6).alias("final_prediction")
+    return table(spark, path, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", back)
 
 
 @query(
@@ -303,12 +328,19 @@ _MODELS = f"select model, {_MEAN} as headcount from replies group by 1"
 
 
 @query("A12_mean_by_model", _MODELS, ctes=_GRID)
-@query("W5_model_comparison", _MODELS, ctes=_GRID)
 def mean_by_model(spark, path):
     scored, columns = _scored_grid(spark, path, closed_form_run(spark, path))
     return whatif.compare_models(scored, columns)
 
 
+@query("W5_model_comparison", _MODELS, ctes=_GRID)
+def model_comparison(spark, path):
+    """Stacked predictions of all models over the grid, averaged per model."""
+    scored = grid.scenario_grid(spark, _lists(spark, path))
+    stacked = score.score_models(scored, CELLS, closed_form_run(spark, path).models)
+    return whatif.mean_by(stacked, "model").withColumnRenamed("name", "model")
+
+
 @query(
     "W4_what_if_report",
     f"""select model, dimension, value, {_MEAN} as headcount from ("""

@@ -24,11 +24,13 @@ def shared_root(spark: SparkSession) -> str:
     Only a ``local`` session without either gets a temporary folder of its own: on a
     cluster, a folder on one machine is not visible to the other executors.
     """
+    context = spark.sparkContext
+    current = context.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if not current:
+            context.setCheckpointDir(configured)
         return configured.rstrip("/")
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
     if current:
         return current.rstrip("/")
     if not context.master.startswith("local"):
