@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countcast.operators.rollup import rollup_dimensions
+from countcast.operators.rollup import by_dimension
 from countcast.spec import CountSpec
 
 Scenario = Mapping[str, Sequence[str]]
@@ -19,8 +19,7 @@ MAX_OPTIONS = 100_000
 
 def option_catalogue(df: DataFrame, spec: CountSpec) -> DataFrame:
     """Distinct ``(dimension, value)`` of all dimensions from one scan. Null is no option."""
-    pairs = rollup_dimensions(df, spec.dims, {"records": F.lit(1).cast("long")}, spec.levels)
-    return pairs.filter("value is not null").select("dimension", "value")
+    return by_dimension(df, spec.dims).filter("value is not null").distinct()
 
 
 def option_lists(catalogue: DataFrame) -> DataFrame:
@@ -65,25 +64,33 @@ def clear_selection(catalogue: DataFrame) -> DataFrame:
 
 def toggle(selection: DataFrame, dimension: str, value: str) -> DataFrame:
     """Add the value, or remove it unless it is the dimension's only one."""
-    one = selection.sparkSession.createDataFrame([(dimension, value)], "dimension string, value string")
-    here = selection.groupBy("dimension").agg(F.count("*").alias("chosen"))
-    others = selection.join(one, ["dimension", "value"], "left_anti")
-    absent = one.join(selection, ["dimension", "value"], "left_anti")
-    last = (
-        selection.join(one, ["dimension", "value"], "left_semi")
-        .join(here.filter("chosen = 1"), "dimension", "left_semi")
+    flip = selection.sparkSession.createDataFrame([(dimension, value)], "dimension string, flip string")
+    lists = (
+        selection.unionByName(flip, allowMissingColumns=True)
+        .groupBy("dimension")
+        .agg(F.collect_set("value").alias("chosen"), F.max("flip").alias("flip"))
     )
-    return others.unionByName(absent).unionByName(last)
+    chosen, flipped = F.col("chosen"), F.col("flip")
+    after = (
+        F.when(flipped.isNull(), chosen)
+        .when(~F.array_contains(chosen, flipped), F.array_append(chosen, flipped))
+        .when(F.size(chosen) > 1, F.array_remove(chosen, flipped))
+        .otherwise(chosen)
+    )
+    return lists.select("dimension", F.explode(after).alias("value"))
 
 
 def resolve_selection(catalogue: DataFrame, scenario: Scenario) -> DataFrame:
-    """A full selection: absent dimension -> all options, empty list -> the first option."""
-    spark = catalogue.sparkSession
-    cleared = [d for d, values in scenario.items() if not values]
-    given = selection_table(spark, scenario)
-    everything = catalogue.filter(~F.col("dimension").isin(list(scenario))) if scenario else catalogue
-    first = clear_selection(catalogue).filter(F.col("dimension").isin(cleared))
-    return everything.unionByName(first.select("dimension", "value")).unionByName(given)
+    """A full selection: absent dimension -> all options, empty list -> the first option.
+
+    The catalogue is evaluated once, and only for the dimensions that need it.
+    """
+    given = [d for d, values in scenario.items() if values]
+    cleared = F.col("dimension").isin([d for d, values in scenario.items() if not values])
+    lists = option_lists(catalogue.filter(~F.col("dimension").isin(given)))
+    kept = F.when(cleared, F.slice("options", 1, 1)).otherwise(F.col("options"))
+    offered = lists.select("dimension", F.explode(kept).alias("value"))
+    return offered.unionByName(selection_table(catalogue.sparkSession, scenario))
 
 
 def default_scenario(catalogue: DataFrame) -> dict[str, list[str]]:

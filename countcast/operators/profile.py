@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countcast.operators.rollup import rollup_dimensions
-from countcast.spec import CountSpec
+from countcast.operators.rollup import by_dimension
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -53,21 +52,24 @@ def describe_long(df: DataFrame, column: str) -> DataFrame:
     return wide.select(*statistics).unpivot([], list(wide.columns), "summary", "value")
 
 
-def distinct_counts(df: DataFrame, spec: CountSpec, columns: Sequence[str] | None = None) -> DataFrame:
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Exact distinct values per column, null counted as a value, from one scan.
 
     ``(column, value)`` pairs are made distinct first, so a column with very many values
     spreads over all tasks; only the pairs per column are then counted.
     """
-    pairs = rollup_dimensions(df, columns or df.columns, {"records": F.lit(1).cast("long")}, spec.levels)
+    pairs = by_dimension(df, columns or df.columns).distinct()
     return pairs.groupBy(F.col("dimension").alias("column")).agg(F.count("*").alias("distinct_values"))
 
 
-def approx_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, rsd: float = 0.02) -> DataFrame:
-    """Estimated distinct values per column: fixed-size sketches, one row shuffled per task."""
+def approx_distinct_counts(df: DataFrame, columns: Sequence[str] | None = None, lg_k: int = 12) -> DataFrame:
+    """Estimated distinct values per column, within about 1.6 % at the default ``lg_k``.
+
+    One fixed-size sketch per column and task is shuffled, whatever the number of values.
+    """
     names = list(columns or df.columns)
-    sketches = df.agg(*(F.approx_count_distinct(c, rsd).alias(c) for c in names))
-    return sketches.unpivot([], names, "column", "distinct_values")
+    estimates = [F.hll_sketch_estimate(F.hll_sketch_agg(c, lg_k)).alias(c) for c in names]
+    return df.agg(*estimates).unpivot([], names, "column", "distinct_values")
 
 
 def drop_null_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

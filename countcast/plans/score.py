@@ -29,7 +29,11 @@ def reject_reason(spec: CountSpec) -> Column:
 
 
 def valid_requests(requests: DataFrame, spec: CountSpec) -> DataFrame:
-    return requests.filter(reject_reason(spec).isNull())
+    """Requests without a reject reason, as separate conditions that reach the scans."""
+    valid = requests.dropna("any", subset=list(spec.dims)) if spec.dims else requests
+    if spec.year_dim is None:
+        return valid
+    return valid.filter(numeric_year(F.col(spec.year_dim)).isNotNull())
 
 
 def rejected_requests(requests: DataFrame, spec: CountSpec) -> DataFrame:

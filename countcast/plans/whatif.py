@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from countcast.functions import mean_of_cents, to_cents
 from countcast.operators.grid import scenario_grid
 from countcast.operators.rollup import rollup_dimensions
-from countcast.plans.score import apply_models, valid_requests
+from countcast.plans.score import apply_models
 from countcast.spec import MAX_COMBINATIONS, SUMMARY_DIMS, CountSpec
 
 
@@ -39,9 +39,8 @@ def mean_by_dimensions(
     predictions = predictions or {"model": "final_prediction"}
     dims = dims or [d for d in SUMMARY_DIMS if d in spec.dims]
     measures = {f"_cents_{i}": to_cents(F.col(c)) for i, c in enumerate(predictions.values())}
-    sums = rollup_dimensions(
-        scored, dims, {**measures, "_rows": F.lit(1).cast("long")}, spec.levels, grand_total
-    )
+    measures["_rows"] = F.lit(1).cast("long")
+    sums = rollup_dimensions(scored, dims, measures, grand_total)
     per_model = F.array(
         *(
             F.struct(
@@ -76,6 +75,21 @@ def compare_models(scored: DataFrame, predictions: Mapping[str, str]) -> DataFra
     return sums.select(F.inline(per_model))
 
 
+def check_values(lists: Mapping[str, Sequence[str]], spec: CountSpec) -> None:
+    """Refuse lists with missing values or malformed years.
+
+    Checking the few list values here spares a filter over every combination.
+    """
+    for dim, values in lists.items():
+        if any(v is None for v in values):
+            raise ValueError(f"missing value for {dim}")
+    for year in lists.get(spec.year_dim, ()) if spec.year_dim else ():
+        try:
+            float(year[:4])
+        except ValueError:
+            raise ValueError(f"malformed year {year!r}") from None
+
+
 def what_if(
     spark: SparkSession,
     lists: Mapping[str, Sequence[str]],
@@ -90,7 +104,7 @@ def what_if(
     models. Grid, scoring by all models and every summary are one job with one shuffle
     of a few rows per task; the grid itself is never stored.
     """
-    grid = scenario_grid(spark, lists, limit)
-    scored, columns = apply_models(valid_requests(grid, spec), spec, models)
+    check_values(lists, spec)
+    scored, columns = apply_models(scenario_grid(spark, lists, limit), spec, models)
     means = mean_by_dimensions(scored, spec, predictions=columns, grand_total=True)
     return means.filter((F.col("model") == best) | F.col("dimension").isNull())

@@ -26,7 +26,7 @@ _DIMS = ", ".join(HEADCOUNT.dims)
 _CELL_DIMS = ", ".join(CELLS.dims)
 
 # The count the models of this module learn.
-WEIGHTED = CountSpec(CELLS.dims, "weighted_headcount", CELLS.year_dim, CELLS.levels)
+WEIGHTED = CountSpec(CELLS.dims, "weighted_headcount", CELLS.year_dim)
 FOREST_DIMS = ("term_type", "attendance")
 BOOSTED_DIMS = ("campus", "faculty_group")
 

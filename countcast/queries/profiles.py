@@ -92,7 +92,7 @@ join (select dimension, count(distinct value) as distinct_values
 )
 def schema_profile(spark, path):
     facts = headcount(spark, path)
-    counts = profile.distinct_counts(facts, HEADCOUNT)
+    counts = profile.distinct_counts(facts)
     return profile.schema_table(facts).drop("nullable").join(counts, "column")
 
 
@@ -127,7 +127,7 @@ def describe_long(spark, path):
 
 @query("P6_distinct_counts", _DISTINCT)
 def distinct_counts(spark, path):
-    return profile.distinct_counts(headcount(spark, path), HEADCOUNT)
+    return profile.distinct_counts(headcount(spark, path))
 
 
 @query("P6_approx_distinct_counts")

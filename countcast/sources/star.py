@@ -55,17 +55,24 @@ def order_lines(spark: SparkSession, path: str) -> DataFrame:
         "l_partkey",
         F.col("l_linestatus").alias("career"),
         F.col("l_returnflag").alias("program_level"),
-        F.when(F.col("l_discount") >= 0.05, "Co-op").otherwise("Regular").alias("coop_regular"),
-        F.when(F.col("l_tax") >= 0.04, "Work Term").otherwise("Academic Term").alias("work_term"),
+        (F.col("l_discount") >= 0.05).alias("discounted"),
+        (F.col("l_tax") >= 0.04).alias("taxed"),
     )
     parts = table(spark, path, "part").select(
         "p_partkey", F.col("p_type").alias("faculty_group"), F.col("p_brand").alias("program_grouping")
     )
-    return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .select(*HEADCOUNT.dims, F.lit(1).cast("long").alias("headcount"))
+    # Part first: both shuffles of the lines then carry few columns, and the many order
+    # columns travel once per order. Flags become names only after the joins.
+    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey")
     )
+    named = joined.withColumns(
+        {
+            "coop_regular": F.when(F.col("discounted"), "Co-op").otherwise("Regular"),
+            "work_term": F.when(F.col("taxed"), "Work Term").otherwise("Academic Term"),
+        }
+    )
+    return named.select(*HEADCOUNT.dims, F.lit(1).cast("long").alias("headcount"))
 
 
 def headcount(spark: SparkSession, path: str, dims: Sequence[str] = HEADCOUNT.dims) -> DataFrame:

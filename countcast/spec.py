@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -70,16 +69,11 @@ REGISTRY_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class CountSpec:
-    """Names the columns of a fact table.
-
-    ``levels`` holds roughly how many values each dimension has. It only steers
-    how one-pass rollups group their work; results never depend on it.
-    """
+    """Names the columns of a fact table."""
 
     dims: tuple[str, ...]
     target: str = "headcount"
     year_dim: str | None = "fiscal_year"
-    levels: Mapping[str, int] = field(default_factory=dict, hash=False, compare=False)
 
     @classmethod
     def of(cls, df, target: str, year_dim: str | None = None) -> CountSpec:
@@ -88,7 +82,7 @@ class CountSpec:
 
     def with_dims(self, *dims: str) -> CountSpec:
         year = self.year_dim if self.year_dim in dims else None
-        return CountSpec(tuple(dims), self.target, year, self.levels)
+        return CountSpec(tuple(dims), self.target, year)
 
     def fact_schema(self) -> T.StructType:
         columns = [T.StructField(d, T.StringType()) for d in self.dims]
@@ -101,21 +95,6 @@ class CountSpec:
         )
 
 
-_LEVELS = {
-    "fiscal_year": 8,
-    "term_type": 3,
-    "career": 2,
-    "program_level": 6,
-    "study_year": 8,
-    "campus": 6,
-    "faculty_group": 11,
-    "program_grouping": 146,
-    "coop_regular": 2,
-    "work_term": 2,
-    "attendance": 3,
-    "visa_status": 5,
-}
-
 # The full fact grain and the coarser grain models are trained on.
 HEADCOUNT = CountSpec(
     (
@@ -132,6 +111,5 @@ HEADCOUNT = CountSpec(
         "attendance",
         "visa_status",
     ),
-    levels=_LEVELS,
 )
 CELLS = HEADCOUNT.with_dims("fiscal_year", "term_type", "campus", "faculty_group", "attendance")
