@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from countcast.operators.options import option_catalogue
 from countcast.spec import CountSpec
+from countcast.workspace import stored
 
 # Longer lists become a semi join, keeping the plan and its generated code small.
 MAX_INLINE_VALUES = 1_000
@@ -21,7 +22,8 @@ def allowed_rows(df: DataFrame, config: Allowed) -> DataFrame:
     """Rows whose every configured dimension holds an allowed value; ``None`` allows all.
 
     Short lists are pushed to the scan as ``IN`` predicates. Long lists, and lists given
-    as a one-column DataFrame, are semi-joined; Spark broadcasts them only if small.
+    as a one-column DataFrame, are semi-joined; Spark broadcasts them if their size, which
+    is known by then, is below its threshold.
     """
     inline = {d: v for d, v in config.items() if v is not None and not _is_table(v)}
     kept = df.filter(_allowed(inline)) if inline else df
@@ -73,6 +75,8 @@ def _allowed(config: Mapping[str, Sequence[str]]) -> Column:
 
 def _values_table(df: DataFrame, dim: str, values: Sequence[str] | DataFrame) -> DataFrame:
     if isinstance(values, DataFrame):
-        return values.select(F.col(values.columns[0]).alias(dim)).distinct()
+        # Stored first, so that its true size decides between broadcast and shuffle; an
+        # estimate could shuffle all facts by a key of a few values.
+        return stored(values.select(F.col(values.columns[0]).alias(dim)).distinct(), "allowed")
     rows = [(v,) for v in dict.fromkeys(values)]
     return df.sparkSession.createDataFrame(rows, f"`{dim}` string")

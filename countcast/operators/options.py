@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from countcast.operators.rollup import by_dimension
 from countcast.spec import CountSpec
+from countcast.workspace import stored
 
 Scenario = Mapping[str, Sequence[str]]
 
@@ -22,9 +23,23 @@ def option_catalogue(df: DataFrame, spec: CountSpec) -> DataFrame:
     return by_dimension(df, spec.dims).filter("value is not null").distinct()
 
 
-def option_lists(catalogue: DataFrame) -> DataFrame:
-    """The catalogue as one sorted array per dimension."""
-    return catalogue.groupBy("dimension").agg(F.array_sort(F.collect_set("value")).alias("options"))
+def bounded_options(catalogue: DataFrame) -> DataFrame:
+    """The catalogue as a stored table, known to be short enough for lists.
+
+    The facts are scanned once; reading the result again costs nothing. A dimension with
+    more than ``MAX_OPTIONS`` options raises before any list is built from it.
+    """
+    options = stored(catalogue, "options")
+    sizes = options.groupBy("dimension").count().filter(F.col("count") > MAX_OPTIONS)
+    too_long = sorted(r.dimension for r in sizes.select("dimension").collect())
+    if too_long:
+        raise ValueError(f"more than {MAX_OPTIONS} options in {too_long}")
+    return options
+
+
+def option_lists(options: DataFrame) -> DataFrame:
+    """``bounded_options`` as one sorted array per dimension."""
+    return options.groupBy("dimension").agg(F.array_sort(F.collect_set("value")).alias("options"))
 
 
 def search_options(catalogue: DataFrame, text: str) -> DataFrame:
@@ -87,9 +102,14 @@ def resolve_selection(catalogue: DataFrame, scenario: Scenario) -> DataFrame:
     """
     given = [d for d, values in scenario.items() if values]
     cleared = F.col("dimension").isin([d for d, values in scenario.items() if not values])
-    lists = option_lists(catalogue.filter(~F.col("dimension").isin(given)))
-    kept = F.when(cleared, F.slice("options", 1, 1)).otherwise(F.col("options"))
-    offered = lists.select("dimension", F.explode(kept).alias("value"))
+    # Open dimensions group by value, cleared ones as a whole: the minimum serves both.
+    group = F.when(~cleared, F.col("value")).alias("_group")
+    offered = (
+        catalogue.filter(~F.col("dimension").isin(given))
+        .groupBy("dimension", group)
+        .agg(F.min("value").alias("value"))
+        .drop("_group")
+    )
     return offered.unionByName(selection_table(catalogue.sparkSession, scenario))
 
 
@@ -101,21 +121,13 @@ def default_scenario(catalogue: DataFrame) -> dict[str, list[str]]:
 def scenario_lists(catalogue: DataFrame, spec: CountSpec, scenario: Scenario) -> dict[str, list[str]]:
     """The resolved selection as value lists in dimension order.
 
-    This collects option lists, not facts: a dimension with more than ``MAX_OPTIONS``
-    options raises before anything is collected.
+    This collects option lists, not facts, and only after checking their length. Values
+    of open dimensions are sorted, given ones keep their order.
     """
-    chosen = resolve_selection(catalogue, scenario).persist()
-    try:
-        sizes = chosen.groupBy("dimension").count().filter(F.col("count") > MAX_OPTIONS)
-        too_long = [r.dimension for r in sizes.limit(len(spec.dims)).collect()]
-        if too_long:
-            raise ValueError(f"more than {MAX_OPTIONS} options in {sorted(too_long)}")
-        lists: dict[str, list[str]] = {d: [] for d in spec.dims}
-        for row in chosen.collect():
-            lists[row.dimension].append(row.value)
-    finally:
-        chosen.unpersist()
-    order = {d: {v: i for i, v in enumerate(vs)} for d, vs in scenario.items() if vs}
-    return {
-        d: sorted(vs, key=order[d].__getitem__) if d in order else sorted(vs) for d, vs in lists.items()
-    }
+    open_dims = [d for d in spec.dims if not scenario.get(d)]
+    needed = catalogue.filter(F.col("dimension").isin(open_dims))
+    chosen = resolve_selection(bounded_options(needed), {d: v for d, v in scenario.items() if not v})
+    lists: dict[str, list[str]] = {d: list(scenario.get(d) or ()) for d in spec.dims}
+    for row in chosen.orderBy("dimension", "value").collect():
+        lists[row.dimension].append(row.value)
+    return lists

@@ -166,7 +166,8 @@ def drop_null_target(spark, path):
 from ({unpivot_sql("headcount", HEADCOUNT.dims)}) group by 1""",
 )
 def options_per_dimension(spark, path):
-    lists = options.option_lists(options.option_catalogue(order_lines(spark, path), HEADCOUNT))
+    catalogue = options.option_catalogue(order_lines(spark, path), HEADCOUNT)
+    lists = options.option_lists(options.bounded_options(catalogue))
     return lists.select(
         "dimension",
         F.array_join("options", ";").alias("options"),
