@@ -49,7 +49,7 @@ REQUEST_ID_SQL = "cast(concat('0x', substr(md5(concat_ws('|', {keys})), 1, 15))
 @query("S2_requests_from_files", f"select {REQUEST_ID_SQL.format(keys=_DIMS)}, {_DIMS} from headcount")
 def requests_from_files(spark, path):
     target = scratch_path(spark, "requests")
-    request_table(headcount(spark, path), HEADCOUNT).write.json(target)
+    request_table(headcount(spark, path), HEADCOUNT, distinct=False).write.json(target)
     return read_requests(spark, target, HEADCOUNT)
 
 

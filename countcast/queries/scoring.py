@@ -17,7 +17,7 @@ from countcast.queries.models import (
 )
 from countcast.queries.profiles import REQUEST_ID_SQL
 from countcast.sources.facts import request_table
-from countcast.sources.star import order_lines, table
+from countcast.sources.star import headcount, order_lines, table
 from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS
 from countcast.streaming import request_stream, score_stream, start_scoring
 from countcast.workspace import scratch_path
@@ -33,7 +33,7 @@ replies as ({predictions_sql("requests", f"request_id, {_DIMS}")})"""
 
 
 def _requests(spark, path):
-    return request_table(order_lines(spark, path), HEADCOUNT)
+    return request_table(headcount(spark, path), HEADCOUNT, distinct=False)
 
 
 def _best(run):

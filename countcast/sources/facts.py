@@ -87,11 +87,15 @@ def read_requests(spark: SparkSession, path: str, spec: CountSpec, format: str =
     return reader.load(path)
 
 
-def request_table(facts: DataFrame, spec: CountSpec) -> DataFrame:
-    """One request per distinct dimension combination, numbered by a hash of its key.
+def request_table(facts: DataFrame, spec: CountSpec, distinct: bool = True) -> DataFrame:
+    """One request per dimension combination, numbered by a hash of its key.
 
-    Hashing needs neither a global sort nor a single-partition row number.
+    Hashing needs neither a global sort nor a single-partition row number. A table whose
+    combinations are known to be unique, such as a fact table, needs no ``distinct``.
     """
     key = F.md5(F.concat_ws("|", *(F.col(d) for d in spec.dims)))
     number = F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
-    return facts.select(*spec.dims).distinct().select(number.alias("request_id"), *spec.dims)
+    combinations = facts.select(*spec.dims)
+    if distinct:
+        combinations = combinations.distinct()
+    return combinations.select(number.alias("request_id"), *spec.dims)

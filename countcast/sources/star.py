@@ -9,22 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countcast.spec import CELLS, HEADCOUNT
 
+# Four dimensions travel through joins and groupings as numbers or flags, which are half
+# the size of their names or less, and are named afterwards.
+COMPACT = {"fiscal_year": "_year", "term_type": "_term", "coop_regular": "_coop", "work_term": "_work"}
+
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def order_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One row per order line: the twelve dimensions, ``headcount`` = 1 and a weight.
-
-    Dimensions that depend on the order alone are derived before the line join, once
-    per order. Callers select what they need; unused columns never leave the scans.
-    """
+def _compact_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per order line with its twelve dimensions, four of them compact."""
     customers = (
         table(spark, path, "customer")
         .join(table(spark, path, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -32,18 +32,13 @@ def order_lines(spark: SparkSession, path: str) -> DataFrame:
         .select("c_custkey", F.col("r_name").alias("campus"), F.col("c_mktsegment").alias("visa_status"))
     )
     month = F.month("o_orderdate")
-    first_year = F.year("o_orderdate") - F.when(month < 5, 1).otherwise(0)
-    next_year = F.lpad(((first_year + 1) % 100).cast("string"), 2, "0")
-    term = (
-        F.when(month < 5, "Winter term").when(month < 9, "Spring term").otherwise("Fall term")
-    )
     orders = (
         table(spark, path, "orders")
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(
             "o_orderkey",
-            F.concat(first_year.cast("string"), F.lit("/"), next_year).alias("fiscal_year"),
-            term.alias("term_type"),
+            (F.year("o_orderdate") - F.when(month < 5, 1).otherwise(0)).alias("_year"),
+            F.when(month < 5, 1).when(month < 9, 2).otherwise(3).alias("_term"),
             F.col("o_orderpriority").alias("study_year"),
             F.col("o_orderstatus").alias("attendance"),
             "campus",
@@ -55,29 +50,48 @@ def order_lines(spark: SparkSession, path: str) -> DataFrame:
         "l_partkey",
         F.col("l_linestatus").alias("career"),
         F.col("l_returnflag").alias("program_level"),
-        (F.col("l_discount") >= 0.05).alias("discounted"),
-        (F.col("l_tax") >= 0.04).alias("taxed"),
+        F.when(F.col("l_discount") >= 0.05, True).otherwise(False).alias("_coop"),
+        F.when(F.col("l_tax") >= 0.04, True).otherwise(False).alias("_work"),
     )
     parts = table(spark, path, "part").select(
         "p_partkey", F.col("p_type").alias("faculty_group"), F.col("p_brand").alias("program_grouping")
     )
     # Part first: both shuffles of the lines then carry few columns, and the many order
-    # columns travel once per order. Flags become names only after the joins.
-    joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
+    # columns travel once per order.
+    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
         orders, F.col("l_orderkey") == F.col("o_orderkey")
     )
-    named = joined.withColumns(
-        {
-            "coop_regular": F.when(F.col("discounted"), "Co-op").otherwise("Regular"),
-            "work_term": F.when(F.col("taxed"), "Work Term").otherwise("Academic Term"),
-        }
-    )
-    return named.select(*HEADCOUNT.dims, F.lit(1).cast("long").alias("headcount"))
+
+
+def _named(dim: str) -> Column:
+    """A dimension's name from its compact form; different forms have different names."""
+    if dim == "fiscal_year":
+        following = F.lpad(((F.col("_year") + 1) % 100).cast("string"), 2, "0")
+        name = F.concat(F.col("_year").cast("string"), F.lit("/"), following)
+    elif dim == "term_type":
+        name = F.when(F.col("_term") == 1, "Winter term").when(F.col("_term") == 2, "Spring term").otherwise("Fall term")
+    elif dim == "coop_regular":
+        name = F.when(F.col("_coop"), "Co-op").otherwise("Regular")
+    elif dim == "work_term":
+        name = F.when(F.col("_work"), "Work Term").otherwise("Academic Term")
+    else:
+        name = F.col(dim)
+    return name.alias(dim)
+
+
+def order_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row per order line: the twelve dimensions and ``headcount`` = 1.
+
+    Callers select what they need; unused columns never leave the scans.
+    """
+    lines = _compact_lines(spark, path)
+    return lines.select(*map(_named, HEADCOUNT.dims), F.lit(1).cast("long").alias("headcount"))
 
 
 def headcount(spark: SparkSession, path: str, dims: Sequence[str] = HEADCOUNT.dims) -> DataFrame:
     """The fact table: one row per combination of ``dims`` with its count of lines."""
-    return order_lines(spark, path).groupBy(*dims).agg(F.sum("headcount").alias("headcount"))
+    grouped = _compact_lines(spark, path).groupBy(*(COMPACT.get(d, d) for d in dims))
+    return grouped.agg(F.count("*").alias("headcount")).select(*map(_named, dims), "headcount")
 
 
 def cells(spark: SparkSession, path: str) -> DataFrame:
