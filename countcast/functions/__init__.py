@@ -2,6 +2,7 @@
 
 from countcast.functions.columns import (
     count_prediction,
+    fiscal_year,
     hash_bucket,
     log_label,
     mean_of_cents,
@@ -15,6 +16,7 @@ from countcast.functions.columns import (
 
 __all__ = [
     "count_prediction",
+    "fiscal_year",
     "hash_bucket",
     "log_label",
     "mean_of_cents",

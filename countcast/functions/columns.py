@@ -16,6 +16,12 @@ def start_year(fiscal_year: Column) -> Column:
     return F.split_part(fiscal_year, F.lit("/"), F.lit(1)).try_cast("int")
 
 
+def fiscal_year(first_year: Column) -> Column:
+    """``2016`` -> ``'2016/17'``."""
+    following = F.lpad(((first_year + 1) % 100).cast("string"), 2, "0")
+    return F.concat(first_year.cast("string"), F.lit("/"), following)
+
+
 def log_label(count: Column) -> Column:
     """Training label: ``log(1 + count)``, defined at zero."""
     return F.log1p(count.cast("double"))

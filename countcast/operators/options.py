@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countcast.functions import fiscal_year, start_year
 from countcast.operators.rollup import by_dimension
 from countcast.spec import CountSpec
 from countcast.workspace import stored
@@ -37,6 +38,21 @@ def bounded_options(catalogue: DataFrame) -> DataFrame:
     return options
 
 
+def with_future_years(options: DataFrame, spec: CountSpec, years: int) -> DataFrame:
+    """``bounded_options`` plus the fiscal years that follow the last one.
+
+    No model has seen them; they are scored through the unseen bucket and the numeric year.
+    """
+    last = options.filter(F.col("dimension") == spec.year_dim).agg(
+        F.max(start_year(F.col("value"))).alias("last")
+    )
+    first = F.explode(F.sequence(F.col("last") + 1, F.col("last") + years)).alias("first")
+    coming = last.filter("last is not null").select(first)
+    return options.unionByName(
+        coming.select(F.lit(spec.year_dim).alias("dimension"), fiscal_year(F.col("first")).alias("value"))
+    )
+
+
 def option_lists(options: DataFrame) -> DataFrame:
     """``bounded_options`` as one sorted array per dimension."""
     return options.groupBy("dimension").agg(F.array_sort(F.collect_set("value")).alias("options"))

@@ -517,7 +517,35 @@ def grid_points(spark, path):
     return tried.agg(F.count("*").cast("int").alias("points"))
 
 
-@query("L6_cross_validation")
+_FOLDED = f"""{TRAINED},
+folded as (select *, {bucket_sql(_CELL_DIMS, 3, start=9)} as fold from labelled where in_train),
+fitted as (
+  select held_out, regr_slope(label, numeric_year) as slope, regr_intercept(label, numeric_year) as intercept,
+         sum(label * numeric_year) / sum(numeric_year * numeric_year) as slope_only
+  from folded join range(3) as f(held_out) on fold <> held_out group by held_out
+),
+errors as (
+  select held_out, sqrt(avg((label - slope * numeric_year - intercept) ** 2)) as with_intercept,
+         sqrt(avg((label - slope_only * numeric_year) ** 2)) as without_intercept
+  from folded join fitted on fold = held_out group by held_out
+)"""
+
+
+@query(
+    "L6_cross_validation",
+    """select 'fitIntercept=True' as params, round(avg(with_intercept), 5) as log_rmse from errors
+union all select 'fitIntercept=False', round(avg(without_intercept), 5) from errors""",
+    ctes=_FOLDED,
+)
+def cross_validation_errors(spark, path):
+    """Three folds and two settings of the least-squares line: six fits and a final one."""
+    line = closed_form_models()[0]
+    line.grid = train.param_grid(line.estimator, {"fitIntercept": [True, False]})
+    run = train.train(cells(spark, path), WEIGHTED, [line])
+    return run.tuning.select("params", F.round("log_rmse", 5).alias("log_rmse"))
+
+
+@query("L6_tuned_cross_validation")
 def cross_validation(spark, path):
     return tuned_run(spark, path).tuning
 

@@ -68,6 +68,18 @@ def option_catalogue(spark, path):
     return options.option_catalogue(order_lines(spark, path), HEADCOUNT)
 
 
+@query(
+    "S10_options_with_future_years",
+    f"""{_OPTIONS}
+union all select 'fiscal_year', concat(cast(y as varchar), '/', lpad(cast((y + 1) % 100 as varchar), 2, '0'))
+from (select max(cast(split_part(fiscal_year, '/', 1) as integer)) as last from headcount), range(1, 7) r(i),
+  lateral (select last + i as y)""",
+)
+def options_with_future_years(spark, path):
+    catalogue = options.option_catalogue(order_lines(spark, path), HEADCOUNT)
+    return options.with_future_years(options.bounded_options(catalogue), HEADCOUNT, 6)
+
+
 @query("P1_row_count", "select count(*) as row_count from headcount")
 def row_count(spark, path):
     return profile.row_count(headcount(spark, path))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from countcast.functions import fiscal_year
 from countcast.spec import CELLS, HEADCOUNT
 
 # Four dimensions travel through joins and groupings as numbers or flags, which are half
@@ -66,8 +67,7 @@ def _compact_lines(spark: SparkSession, path: str) -> DataFrame:
 def _named(dim: str) -> Column:
     """A dimension's name from its compact form; different forms have different names."""
     if dim == "fiscal_year":
-        following = F.lpad(((F.col("_year") + 1) % 100).cast("string"), 2, "0")
-        name = F.concat(F.col("_year").cast("string"), F.lit("/"), following)
+        name = fiscal_year(F.col("_year"))
     elif dim == "term_type":
         name = F.when(F.col("_term") == 1, "Winter term").when(F.col("_term") == 2, "Spring term").otherwise("Fall term")
     elif dim == "coop_regular":

@@ -23,22 +23,6 @@ ENROLMENT_HEADERS = {
     "Student Headcounts": "headcount",
 }
 
-# Display labels of the dimensions.
-DIMENSION_LABELS = {
-    "fiscal_year": "Fiscal Year",
-    "term_type": "Term Type",
-    "career": "Career",
-    "program_level": "Program Level",
-    "study_year": "Study Year",
-    "campus": "Campus",
-    "faculty_group": "Faculty Group",
-    "program_grouping": "Program Grouping",
-    "coop_regular": "Co-op / Regular",
-    "work_term": "Work Term",
-    "attendance": "Attendance",
-    "visa_status": "Visa Status",
-}
-
 # The nine dimensions a what-if run is summarised by.
 SUMMARY_DIMS = (
     "fiscal_year",
