@@ -48,6 +48,8 @@ SMALL_GRIDS = {
     FOREST: {"numTrees": [10], "maxDepth": [3, 6]},
     BOOSTED: {"maxIter": [8], "maxDepth": [3], "stepSize": [0.1, 0.3]},
 }
+# Fewer rows than this are not worth a task of their own in a pass of fitting.
+ROWS_PER_TASK = 10_000
 # Megabytes of statistics a task may hold while growing trees. More means more tree nodes
 # per pass over the data and so fewer passes; the trees are the same.
 NODE_MEMORY = 1024
@@ -197,6 +199,19 @@ def prepare(facts: DataFrame, spec: CountSpec, keys: Sequence[str], folds: int)
     return with_fold(rows, keys, folds)
 
 
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Enough partitions for fitting, which costs far more per row than reading.
+
+    Stored tables of moderate size come in few files; without this, a few tasks would do
+    all passes. Larger tables are already in more pieces and stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    wanted = min(cores, rows.count() // ROWS_PER_TASK)
+    if wanted <= rows.rdd.getNumPartitions():
+        return rows
+    return rows.repartition(wanted, *keys)
+
+
 def train(
     facts: DataFrame,
     spec: CountSpec,
@@ -217,6 +232,7 @@ def train(
     keys = list(keys or spec.dims)
     labelled = stored(prepare(facts, spec, keys, folds), "training")
     train_rows, test_rows = split(labelled, keys, train_percent)
+    train_rows = spread(train_rows, keys)
     fitted = fit_candidates(train_rows, spec, models, folds, parallelism, refit_features)
     chains = {name: chain for name, (chain, _) in fitted.items()}
     tuning = [

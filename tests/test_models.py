@@ -221,6 +221,14 @@ def test_training_drops_unusable_rows_and_accepts_zero_counts(facts, spec):
     assert ready.filter("headcount = 0").first().label == 0.0
 
 
+def test_training_rows_are_spread_over_the_cores(spark):
+    few = spark.range(80_000).coalesce(1)
+    assert train.spread(few, ["id"]).rdd.getNumPartitions() == 8
+    assert train.spread(few.limit(9_000), ["id"]).rdd.getNumPartitions() == 1
+    many = spark.range(80_000, numPartitions=20)
+    assert train.spread(many, ["id"]).rdd.getNumPartitions() == 20
+
+
 def test_single_valued_dimension_trains(spark):
     facts = cells(spark, SMALL).withColumn("campus", F.lit("Main"))
     keys = ["fiscal_year", "term_type", "faculty_group", "attendance"]
