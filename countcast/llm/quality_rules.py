@@ -122,7 +122,7 @@ def _word_length(w: Words) -> np.ndarray:
 
 def _dup_lines(w: Words) -> np.ndarray:
     lines, again = line_counts(w)
-    return 10 * again > 3 * lines
+    return 100 * again > 35 * lines
 
 
 @dataclass(frozen=True)

@@ -62,7 +62,7 @@ counts as (
 judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
   n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > n_words or 10 * n_dup_lines > 3 * n_lines or 2 * n_upper > n_letters
+  not (base_failed or 10 * n_symbols > n_words or 100 * n_dup_lines > 35 * n_lines or 2 * n_upper > n_letters
     or 10 * n_exclaimed > n_words or 10 * n_lettered < 8 * n_words
     or 2 * word_chars < 5 * n_words or word_chars > 15 * n_words) as kept
 from judged""",
