@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from countcast.llm import quality_rules, token_files
+from countcast.llm import quality_rules, sentence_pieces, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, _table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return sentence_pieces.digests(_table(spark, sf_dir, "documents"), model)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_index(spark, _table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
+    "op7_sentence_pieces": op7_sentence_pieces,
+    "op8_warc": op8_warc,
 }
 
 #: Words as the operators see them.
@@ -66,4 +77,14 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
     or 10 * n_exclaimed > n_words or 10 * n_lettered < 8 * n_words
     or 2 * word_chars < 5 * n_words or word_chars > 15 * n_words) as kept
 from judged""",
+    "op8_warc": r"""
+with p as (select page_id, coalesce(html, '') as body, row_number() over (partition by coalesce(html, '') order by page_id desc nulls last) as k,
+    first_value(page_id) over (partition by coalesce(html, '') order by page_id desc nulls last) as best from pages),
+h as (select *, sha1(body) as hex, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' as letters from p)
+select page_id, strlen(body)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    letters[1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::int >> (15 - 5 * (i % 4))::int) & 31)]), '') as payload_digest,
+  case when k = 1 then 'response' else 'revisit' end as record_type,
+  case when k > 1 then best end as refers_to
+from h""",
 }
