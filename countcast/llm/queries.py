@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from countcast.llm import quality_rules, sentence_pieces, token_files, warc
+from countcast.llm import jaccard_join, quality_rules, sentence_pieces, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(spark, _table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return sentence_pieces.digests(_table(spark, sf_dir, "documents"), model)
@@ -35,6 +39,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op7_sentence_pieces": op7_sentence_pieces,
     "op8_warc": op8_warc,
 }
@@ -77,6 +82,19 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
     or 10 * n_exclaimed > n_words or 10 * n_lettered < 8 * n_words
     or 2 * word_chars < 5 * n_words or word_chars > 15 * n_words) as kept
 from judged""",
+    "op4_ngram_jaccard_join": rf"""
+with recursive d as (
+  select row_number() over () as r, doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+shingles as materialized (
+  select distinct r, array_to_string(w[i + 1:least(i + 5, len(w))], ' ') as g
+  from (select r, w, unnest(range(greatest(1, len(w) - 4))) as i from d where len(w) > 0)),
+sizes as (select r, count(*) as n from shingles group by r),
+links as materialized (
+  select a, b from (select x.r as a, y.r as b, count(*) as shared from shingles x join shingles y using (g) where x.r <> y.r group by 1, 2)
+  join sizes p on p.r = a join sizes q on q.r = b where 100 * shared >= 75 * (p.n + q.n - shared)),
+reach as (select r, r as other from d union select reach.r, b from reach join links on other = a)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+from reach join d on d.r = reach.r join d o on o.r = other left join sizes on sizes.r = d.r group by d.r, d.doc_id""",
     "op8_warc": r"""
 with p as (select page_id, coalesce(html, '') as body, row_number() over (partition by coalesce(html, '') order by page_id desc nulls last) as k,
     first_value(page_id) over (partition by coalesce(html, '') order by page_id desc nulls last) as best from pages),

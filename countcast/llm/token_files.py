@@ -344,7 +344,8 @@ def read_token_files(chunks: DataFrame) -> DataFrame:
                     names=["key", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = placed.select("path", "offset", "bytes", "before").repartition("path", "offset")
+    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: small rows, much work
+    spread = placed.select("path", "offset", "bytes", "before").repartition(tasks, "path", "offset")
     return spread.mapInArrow(read, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 

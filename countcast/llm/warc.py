@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countcast.llm.files import fresh_folder, fresh_name, opened
+from countcast.llm.rows import with_row_ids
 from countcast.workspace import stored
 
 #: Payload bytes in one row of the chunk table.
@@ -36,22 +37,10 @@ DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: A row for each chunk; every record has one chunk at least. ``refers_to`` names a record.
-CHUNK_COLUMNS = "record string, page_id bigint, url string, kind string, refers_to string, digest string, size bigint, chunk int, data binary"
+CHUNK_COLUMNS = "record bigint, page_id bigint, url string, kind string, refers_to bigint, digest string, size bigint, chunk int, data binary"
 READ_COLUMNS = "record string, page_id bigint, url string, kind string, refers_to string, named_digest string, chunk int, data binary, last boolean, bytes_so_far bigint, digest string"
 
 
-def with_row_ids(pages: DataFrame, name: str) -> DataFrame:
-    """A column that tells each row from all others, the same in every reading of the table."""
-    try:
-        located = pages.select("*", F.concat_ws(":", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(name))
-        located.schema  # noqa: B018  raises where the rows do not come from files
-        return located
-    except Exception as error:
-        if "UNRESOLVED_COLUMN" not in str(error):
-            raise
-    return with_row_ids(stored(pages, "rows"), name)
-
-
 def base32_digest(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode("ascii")
 
@@ -82,8 +71,8 @@ def record_chunks(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     )
 
 
-def _record_id(record: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, record)}>"
+def _record_id(record: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(record))}>"
 
 
 def _heads(row: dict) -> bytes:
@@ -224,7 +213,8 @@ def read_archives(archives: DataFrame, with_data: bool = True, chunk_bytes: int
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return archives.select("path").repartition("path").mapInArrow(read, READ_COLUMNS)
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: small rows, much work
+    return archives.select("path").repartition(tasks, "path").mapInArrow(read, READ_COLUMNS)
 
 
 def archive_index(spark: SparkSession, pages: DataFrame) -> DataFrame:
