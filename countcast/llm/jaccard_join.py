@@ -3,22 +3,24 @@
 Two documents link when their sets of distinct 5-word shingles (A-Z lowered; a shorter text is
 one shingle) have a Jaccard similarity of 0.75 or more. Documents with equal sets are one node.
 
-A document x of n shingles can only link with y if they share T >= 0.75 n of them, so they share
-one of the n - T + 1 first shingles of either in any order that is the same for all. The order
-is by hash, with the shingles that very many documents hold put last, so those lists are merged
-by nobody who can do without. The first shingles make the inverted lists.
-
-1. The documents of a list go to the list's hub (its first node). A hub's documents are dealt to
-   blocks of bounded size, the hub in each. Within a block DivideSkip finds the links: the
-   short inverted lists are merged with a heap that skips what cannot reach T - L, the L
-   longest are probed by binary search, and documents that reach the overlap are linked, unless
-   the block's links so far connect them anyway.
-2. Lists whose documents went to several blocks are searched again, only between documents that
+A document of n shingles can only link with another if they share T >= 0.75 n of them. DivideSkip
+sets L < T lists aside, so they meet in T - L of the n - L others, in any order of the shingles
+that is the same for all. Here the order is by hash, with the shingles that very many documents
+hold last: those are the long lists, which nobody merges who can do without.
+
+1. The first n - L shingles of each document make the inverted lists. The documents of a list go
+   to the list's hub (its first node); a hub's documents are dealt to blocks of bounded size, the
+   hub in each. A block merges its short lists with a heap that skips what cannot reach T - L;
+   documents without a partner there leave.
+2. The texts of those that are left come to their blocks, where DivideSkip runs on the whole
+   sets: short lists are merged, the L longest probed by binary search, and documents that reach
+   the overlap are linked, unless the block's links so far connect them anyway.
+3. Lists whose documents went to several blocks are searched again, only between documents that
    the links so far leave in different components; the pairs that remain go to blocks likewise.
 
-So each pair that shares a first shingle is compared in a block or is connected already: the
-components are exact. Only rows (shingle, node) and the texts of documents in shared lists are
-shuffled, and no task holds more than a block.
+So each pair that shares enough first shingles is compared in a block or is connected already:
+the components are exact. Rows (shingle, node), and the texts once, are shuffled, and no task
+holds more than a block.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; component_id
 is the smallest doc_id of the component, itself where there is no link (null keys are larger than
@@ -36,7 +38,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countcast.llm.components import components
@@ -51,6 +53,8 @@ PERCENT = 75
 BLOCK = 96
 #: A shingle of more documents than this is ordered last and its list is dealt in parts of so many.
 LONG = 256
+#: The share of each document's first shingles in which frequent ones are looked for.
+COUNTED = 0.25
 #: At most so many shingles are ordered last: the most frequent ones. A bound on what is sent to
 #: the tasks; the order decides the work and never the result.
 LAST = 1 << 20
@@ -64,6 +68,19 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def least_short(n: int) -> int:
+    """T - L of a set of ``n``: short lists in which a partner must be found (DivideSkip's choice
+    of L for lists of up to LONG documents)."""
+    least = needed(n)
+    return max(1, least - int(least / (MU * math.log2(LONG) + 1)))
+
+
+def _least_short(n: Column) -> Column:
+    """The same of a column."""
+    least = F.floor((PERCENT * n + 99) / 100)
+    return F.greatest(F.lit(1), least - F.floor(least / F.lit(MU * math.log2(LONG) + 1)))
+
+
 def overlap(a: int, b: int) -> int:
     """Shingles that sets of these sizes share at least if they link."""
     return -(-PERCENT * (a + b) // (100 + PERCENT))
@@ -131,7 +148,7 @@ def _postings(docs: DataFrame, last: np.ndarray, parts: np.ndarray, share: float
                     own = own.view(np.int64)
                     at = np.searchsorted(last, own) if len(last) else np.zeros(n, np.int64)
                     is_last = last[np.minimum(at, len(last) - 1)] == own if len(last) else np.zeros(n, bool)
-                    size = max(1, math.ceil(share * (n - needed(n) + 1)))
+                    size = max(1, math.ceil(share * (n - needed(n) + least_short(n))))
                     first = np.concatenate((np.flatnonzero(~is_last), np.flatnonzero(is_last)))[:size]
                     dealt = np.zeros(len(first), np.int64)
                     hot = is_last[first]
@@ -148,10 +165,10 @@ def _postings(docs: DataFrame, last: np.ndarray, parts: np.ndarray, share: float
 def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, parts): those that more than LONG documents have among their first ones."""
     none = np.empty(0, np.int64)
-    counts = _postings(docs, none, none, 0.6).groupBy("shingle").count().where(F.col("count") > LONG)
+    counts = _postings(docs, none, none, COUNTED).groupBy("shingle").count().where(F.col("count") > LONG * COUNTED)
     top = counts.orderBy(F.desc("count"), "shingle").limit(LAST).toPandas()
     order = np.argsort(top["shingle"].to_numpy())
-    return top["shingle"].to_numpy()[order], 1 + top["count"].to_numpy()[order] // LONG
+    return top["shingle"].to_numpy()[order], 1 + (top["count"].to_numpy()[order] / COUNTED).astype(np.int64) // LONG
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
@@ -263,16 +280,61 @@ def block_links(sets: list[list[int]]) -> list[tuple[int, int]]:
     return links
 
 
-def _links_in_blocks(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) within blocks of (hub, node): every hub's nodes in blocks, the hub in each."""
-    sizes = members.groupBy("hub").agg(F.count("*").alias("size"))
-    blocks = (1 + F.floor(F.col("size") / BLOCK)).cast("int")
-    dealt = members.join(sizes.select("hub", blocks.alias("blocks")), "hub").select(
-        "hub", F.pmod("node", "blocks").cast("int").alias("block"), "node", "blocks"
-    )
-    hubs = dealt.select("hub", "blocks").distinct().select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
+def partners(nodes: list[int], sizes: list[int], shingles: list[list[int]], hubs: list[list[int]], hub: int) -> set[int]:
+    """Places of the documents of a block that meet another in enough short lists.
+
+    A pair counts in the block of the hub of its first common list only, not in every block that
+    both are in.
+    """
+    order = sorted(range(len(nodes)), key=lambda i: (sizes[i], nodes[i]))
+    ordered = [sizes[i] for i in order]
+    hub_of = [dict(zip(shingles[i], hubs[i])) for i in order]
+    index: dict[int, list[int]] = {}
+    found: set[int] = set()
+    for x, i in enumerate(order):
+        low = bisect_left(ordered, needed(sizes[i]))
+        lists = sorted((have for s in shingles[i] if (have := index.get(s))), key=len)
+        least = least_short(needed(sizes[i]))
+        if low < x and len(lists) >= least:
+            for y, count in t_occurrence(lists, least, low, 0):
+                if count < least_short(ordered[y]) or (x in found and y in found):
+                    continue
+                common = min(hub_of[x].keys() & hub_of[y].keys())
+                if hub_of[x][common] == hub:
+                    found |= {x, y}
+                    if len(found) == x + 1:  # all so far
+                        break
+        for s in shingles[i]:
+            index.setdefault(s, []).append(x)
+    return {order[x] for x in found}
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """(hub, block, node): every hub's nodes in blocks, the hub in each of them."""
+    sizes = members.groupBy("hub").agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "hub").select("hub", F.pmod("node", "blocks").cast("int").alias("block"), "node")
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
+    return dealt.unionByName(hubs)
+
+
+def _with_partners(dealt: DataFrame, lists: DataFrame) -> DataFrame:
+    """The rows of blocks whose document meets another of the block in enough short lists."""
+    own = lists.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles"), F.collect_list("hub").alias("hubs"))
+
+    def run(key, group):
+        hub, block = (int(k) for k in key)
+        nodes = group["node"].tolist()
+        shingles = [s.tolist() for s in group["shingles"]]
+        left = sorted(partners(nodes, group["n"].tolist(), shingles, [h.tolist() for h in group["hubs"]], hub))
+        return pd.DataFrame({"hub": hub, "block": block, "node": [nodes[i] for i in left]})
+
+    return dealt.join(own, "node").groupBy("hub", "block").applyInPandas(run, "hub bigint, block int, node bigint")
+
+
+def _links_in_blocks(dealt: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) within blocks of (hub, block, node), on the whole texts."""
     rows = nodes.where("node is not null").groupBy("node").agg(F.min("row").alias("row"))
-    placed = dealt.select("hub", "block", "node").unionByName(hubs).distinct().join(rows, "node").join(docs.select("row", "text"), "row")
+    placed = dealt.join(rows, "node").join(docs.select("row", "text"), "row")
 
     def run(group):
         w = Words(*buffer_of(pa.array(group["text"], pa.large_string())))
@@ -307,17 +369,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | No
     nodes = stored(nodes_of_rows(docs), "nodes")
     last, parts = frequent(docs)
     lists = stored(shared_lists(_postings(docs, last, parts, 1.0)), "lists")
+    meets = lists.groupBy("node", "n").count().where(F.col("count") >= _least_short(F.col("n")))
+    lists = stored(lists.join(meets.select("node"), "node", "left_semi"), "lists")
     members = lists.where("node <> hub").select("hub", "node").distinct()
-    links = stored(_links_in_blocks(members, docs, nodes), "links")
+    blocks = stored(_with_partners(_dealt(members), lists), "blocks")
+    links = stored(_links_in_blocks(blocks, docs, nodes), "links")
     labels = stored(components(links), "labels")
-    split = lists.join(
-        lists.where("part > 0").select("shingle")
-        .union(lists.join(members.groupBy("hub").count().where(F.col("count") >= BLOCK), "hub", "left_semi").select("shingle")).distinct(),
-        "shingle", "left_semi",
-    )
-    pairs = stored(_mixed(split, labels), "pairs")
+    wide = members.groupBy("hub").count().where(F.col("count") >= BLOCK)
+    several = lists.where("part > 0").select("shingle").union(lists.join(wide, "hub", "left_semi").select("shingle")).distinct()
+    pairs = stored(_mixed(lists.join(several, "shingle", "left_semi"), labels), "pairs")
     if not pairs.isEmpty():
-        more = stored(_links_in_blocks(pairs, docs, nodes), "links")
+        more = stored(_links_in_blocks(_dealt(pairs), docs, nodes), "links")
         labels = stored(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels")
     least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = least.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
