@@ -2,7 +2,7 @@
 
 A record's payload moves as rows (record, chunk number, bytes) of bounded size, in order, and
 its digest is carried from chunk to chunk; neither writing nor reading holds a whole payload
-besides the table cell it comes from. Of records with equal payloads (SHA-1 and length), the one
+besides the table cell it comes from. Chunks are deflated before they are shuffled. Of records with equal payloads (SHA-1 and length), the one
 with the largest page id is the response; the others are revisits that name it.
 
 Archives are gzip files of one member a record. A task writes its archives under names of its
@@ -18,10 +18,11 @@ import base64
 import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countcast.llm.files import fresh_folder, fresh_name, opened
@@ -36,8 +37,6 @@ ARCHIVE_BYTES = 1 << 26
 DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: A row for each chunk; every record has one chunk at least. ``refers_to`` names a record.
-CHUNK_COLUMNS = "record bigint, page_id bigint, url string, kind string, refers_to bigint, digest string, size bigint, chunk int, data binary"
 READ_COLUMNS = "record string, page_id bigint, url string, kind string, refers_to string, named_digest string, chunk int, data binary, last boolean, bytes_so_far bigint, digest string"
 
 
@@ -46,7 +45,8 @@ def base32_digest(hexadecimal: str) -> str:
 
 
 def record_chunks(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk table of a table of pages.
+    """The chunk table of a table of pages: (record, page_id, url, kind, refers_to, digest, size,
+    chunk, data), one chunk at least for each record, its data deflated; ``refers_to`` is a record.
 
     Digests and roles are decided on narrow rows (the largest page id of a payload is a partial
     aggregate); the payloads are shuffled once, by row, so copies do not meet in one task.
@@ -58,17 +58,33 @@ def record_chunks(pages: DataFrame, key: str = "page_id", url: str = "url", payl
     roles = thin.join(best, ["digest", "size"]).select(
         "record", "digest", "size", F.when(F.col("best.record") != F.col("record"), F.col("best.record")).alias("refers_to")
     )
-    joined = rows.join(roles, "record")
-    revisit = F.col("refers_to").isNotNull()
-    body: Column = F.when(revisit, F.lit(b"")).otherwise(F.col("body"))
-    pieces = F.greatest(F.lit(1), F.ceil(F.octet_length(body) / F.lit(chunk_bytes))).cast("int")
-    return joined.select(
-        "record", "page_id", "url", F.when(revisit, "revisit").otherwise("response").alias("kind"), "refers_to", "digest", "size",
-        body.alias("body"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("chunk"),
-    ).select(
-        "record", "page_id", "url", "kind", "refers_to", "digest", "size", "chunk",
-        F.substring("body", F.col("chunk") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data"),
-    )
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            numbers: list[int] = []
+            data: list[bytes] = []
+
+            def rows_so_far() -> pa.RecordBatch:
+                own = batch.select(["record", "page_id", "url"]).take(pa.array(at, pa.int32()))
+                out = pa.RecordBatch.from_arrays([*own.columns, pa.array(numbers, pa.int32()), pa.array(data, pa.binary())], names=["record", "page_id", "url", "chunk", "data"])
+                at.clear(), numbers.clear(), data.clear()
+                return out
+
+            for i in range(batch.num_rows):
+                body = batch.column("body")[i].as_buffer()
+                for chunk in range(max(1, -(-body.size // chunk_bytes))):
+                    start = chunk * chunk_bytes
+                    at.append(i)
+                    numbers.append(chunk)
+                    data.append(zlib.compress(body.slice(start, min(chunk_bytes, body.size - start)), 6))
+                    if len(data) >= 1024:
+                        yield rows_so_far()
+            yield rows_so_far()
+
+    chunks = rows.mapInArrow(cut, "record bigint, page_id bigint, url string, chunk int, data binary")
+    joined = chunks.join(roles, "record").where("refers_to is null or chunk = 0")
+    kind = F.when(F.col("refers_to").isNotNull(), "revisit").otherwise("response").alias("kind")
+    return joined.select("record", "page_id", "url", kind, "refers_to", "digest", "size", "chunk", "data").sortWithinPartitions("record", "chunk")
 
 
 def _record_id(record: int) -> str:
@@ -130,9 +146,10 @@ def write_archives(chunks: DataFrame, folder: str) -> DataFrame:
                         names.append(fresh_name(folder, ".warc.gz"))
                         where, path = opened(names[-1])
                         raw = where.open_output_stream(path)
-                    packed = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=4, mtime=0)
+                    packed = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=6, mtime=0)
                     packed.write(_heads(row))
-                packed.write(row["data"])
+                if row["kind"] == "response":
+                    packed.write(zlib.decompress(row["data"]))
         end_archive()
         if names:
             yield pa.RecordBatch.from_pydict({"path": names, "bytes": pa.array(sizes, pa.int64())})
