@@ -11,12 +11,12 @@ hold last: those are the long lists, which nobody merges who can do without.
 1. The first n - L shingles of each document make the inverted lists. The documents of a list go
    to the list's hub (its first node); a hub's documents are dealt to blocks of bounded size, the
    hub in each. A block merges its short lists with a heap that skips what cannot reach T - L;
-   documents without a partner there leave.
+   documents without a partner there leave the block.
 2. The texts of those that are left come to their blocks, where DivideSkip runs on the whole
    sets: short lists are merged, the L longest probed by binary search, and documents that reach
    the overlap are linked, unless the block's links so far connect them anyway.
-3. Lists whose documents went to several blocks are searched again, only between documents that
-   the links so far leave in different components; the pairs that remain go to blocks likewise.
+3. Lists whose documents went to several blocks are counted again, only between documents that
+   the links so far leave in different components; pairs with T - L of them go to blocks likewise.
 
 So each pair that shares enough first shingles is compared in a block or is connected already:
 the components are exact. Rows (shingle, node), and the texts once, are shuffled, and no task
@@ -31,9 +31,10 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -50,9 +51,9 @@ SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Documents of a block besides its hub (on average).
-BLOCK = 96
+BLOCK = 512
 #: A shingle of more documents than this is ordered last and its list is dealt in parts of so many.
-LONG = 256
+LONG = 512
 #: The share of each document's first shingles in which frequent ones are looked for.
 COUNTED = 0.25
 #: At most so many shingles are ordered last: the most frequent ones. A bound on what is sent to
@@ -243,40 +244,56 @@ def t_occurrence(lists: list[list[int]], least: int, low: int, long: int) -> Ite
 
 def block_links(sets: list[list[int]]) -> list[tuple[int, int]]:
     """Links that connect what the similarity connects among these sets (a spanning forest)."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))  # lists stay sorted as documents are added
     sizes = [len(sets[i]) for i in order]
-    index: dict[int, list[int]] = {}
-    parent = list(range(len(order)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     links = []
+    # the lists of documents that are linked with none, and those of each component: what is in
+    # one component with x already need not be found again
+    alone: dict[int, list[int]] = {}
+    joint: dict[int, dict[int, list[int]]] = {}
+
+    def first_link(index: dict[int, list[int]], x: int, n: int, low: int, least: int) -> Iterator[int]:
+        """Documents of one index that x links with, one after the other."""
+        lists = sorted((found for s in sets[order[x]] if (found := index.get(s))), key=len)
+        if len(lists) < least:
+            return
+        long = min(least - 1, int(least / (MU * math.log2(len(lists[-1]) + 1) + 1)), len(lists))
+        probes = lists[len(lists) - long :]
+        for y, count in t_occurrence(lists, least, low, long):
+            want = overlap(n, sizes[y])
+            for left, elements in zip(range(len(probes), 0, -1), probes):
+                if count >= want or count + left < want:
+                    break
+                at = bisect_left(elements, y)
+                count += at < len(elements) and elements[at] == y
+            if count >= want:
+                yield y
+
     for x, i in enumerate(order):
-        n = sizes[x]
-        least = needed(n)
+        n, least = sizes[x], needed(sizes[x])
         low = bisect_left(sizes, least)
-        lists = sorted((found for s in sets[i] if (found := index.get(s))), key=len)
-        if low < x and len(lists) >= least:
-            longest = len(lists[-1])
-            long = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)), len(lists))
-            for y, count in t_occurrence(lists, least, low, long):
-                if root(y) == root(x):
-                    continue
-                want, probes = overlap(n, sizes[y]), lists[len(lists) - long :]
-                for left, elements in zip(range(len(probes), 0, -1), probes):
-                    if count >= want or count + left < want:
-                        break
-                    at = bisect_left(elements, y)
-                    count += at < len(elements) and elements[at] == y
-                if count >= want:
-                    links.append((order[y], i))
-                    parent[root(y)] = root(x)
+        met = list(first_link(alone, x, n, low, least)) if low < x else []
+        tops = [] if low >= x else [(y, top) for top, index in joint.items() for y in islice(first_link(index, x, n, low, least), 1)]
+        links += [(order[y], i) for y in met] + [(order[y], i) for y, _ in tops]
+        if not met and not tops:
+            for s in sets[i]:
+                alone.setdefault(s, []).append(x)
+            continue
+        for y in met:
+            for s in sets[order[y]]:
+                alone[s].remove(y)
+        merged = [joint.pop(top) for _, top in tops]
+        index = max(merged, key=len, default={})
+        for other in merged:
+            if other is not index:
+                for s, found in other.items():
+                    index[s] = sorted(index.get(s, []) + found)
+        for y in met:
+            for s in sets[order[y]]:
+                insort(index.setdefault(s, []), y)
         for s in sets[i]:
             index.setdefault(s, []).append(x)
+        joint[x] = index
     return links
 
 
@@ -284,28 +301,38 @@ def partners(nodes: list[int], sizes: list[int], shingles: list[list[int]], hubs
     """Places of the documents of a block that meet another in enough short lists.
 
     A pair counts in the block of the hub of its first common list only, not in every block that
-    both are in.
+    both are in. ``shingles`` are in the order of the lists.
     """
     order = sorted(range(len(nodes)), key=lambda i: (sizes[i], nodes[i]))
     ordered = [sizes[i] for i in order]
-    hub_of = [dict(zip(shingles[i], hubs[i])) for i in order]
-    index: dict[int, list[int]] = {}
+    place = [{s: k for k, s in enumerate(shingles[i])} for i in order]
     found: set[int] = set()
-    for x, i in enumerate(order):
-        low = bisect_left(ordered, needed(sizes[i]))
+    # documents that have met none yet, and those that have: the latter need not be met again
+    unmet: dict[int, list[int]] = {}
+    met: dict[int, list[int]] = {}
+
+    def meets(index: dict[int, list[int]], x: int, low: int, least: int) -> Iterator[int]:
+        i = order[x]
         lists = sorted((have for s in shingles[i] if (have := index.get(s))), key=len)
-        least = least_short(needed(sizes[i]))
-        if low < x and len(lists) >= least:
-            for y, count in t_occurrence(lists, least, low, 0):
-                if count < least_short(ordered[y]) or (x in found and y in found):
-                    continue
-                common = min(hub_of[x].keys() & hub_of[y].keys())
-                if hub_of[x][common] == hub:
-                    found |= {x, y}
-                    if len(found) == x + 1:  # all so far
-                        break
+        if len(lists) < least:
+            return
+        for y, count in t_occurrence(lists, least, low, 0):
+            if count >= least_short(ordered[y]):
+                common = next(k for k, s in enumerate(shingles[i]) if s in place[y])
+                if hubs[i][common] == hub:
+                    yield y
+
+    for x, i in enumerate(order):
+        low, least = bisect_left(ordered, needed(sizes[i])), least_short(needed(sizes[i]))
+        new = list(meets(unmet, x, low, least)) if low < x else []
+        if new or (low < x and any(True for _ in meets(met, x, low, least))):
+            found |= {x, *new}
+        for y in new:
+            for s in shingles[order[y]]:
+                unmet[s].remove(y)
+                insort(met.setdefault(s, []), y)
         for s in shingles[i]:
-            index.setdefault(s, []).append(x)
+            (met if x in found else unmet).setdefault(s, []).append(x)
     return {order[x] for x in found}
 
 
@@ -319,7 +346,10 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 def _with_partners(dealt: DataFrame, lists: DataFrame) -> DataFrame:
     """The rows of blocks whose document meets another of the block in enough short lists."""
-    own = lists.groupBy("node").agg(F.first("n").alias("n"), F.collect_list("shingle").alias("shingles"), F.collect_list("hub").alias("hubs"))
+    # the order of the lists is the same for all: those in one block each, then the others
+    listed = F.array_sort(F.collect_list(F.struct("split", "shingle", "hub")))
+    own = lists.groupBy("node").agg(F.first("n").alias("n"), listed.alias("listed"))
+    own = own.select("node", "n", F.col("listed.shingle").alias("shingles"), F.col("listed.hub").alias("hubs"))
 
     def run(key, group):
         hub, block = (int(k) for k in key)
@@ -348,14 +378,19 @@ def _links_in_blocks(dealt: DataFrame, docs: DataFrame, nodes: DataFrame) -> Dat
 
 
 def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(hub, node) for pairs of a list that are in different components and fit in size."""
+    """(hub, node) for pairs in different components that these lists bring together in number.
+
+    A pair that also meets in a list of one block was compared there.
+    """
     labelled = lists.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
     ends = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     some = stored(labelled.join(ends.select("shingle"), "shingle"), "mixed-lists")
     a, b = some.alias("a"), some.alias("b")
     fits = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") < F.col("b.root"))
     fits &= (100 * F.col("a.n") >= PERCENT * F.col("b.n")) & (100 * F.col("b.n") >= PERCENT * F.col("a.n"))
-    return a.join(b, fits).select(F.col("a.node").alias("hub"), F.col("b.node").alias("node")).distinct()
+    met = a.join(b, fits).groupBy(F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
+    enough = F.col("count") >= _least_short(F.col("n"))
+    return met.agg(F.count("*").alias("count"), F.first(F.least("a.n", "b.n")).alias("n")).where(enough).select("hub", "node")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -370,14 +405,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | No
     last, parts = frequent(docs)
     lists = stored(shared_lists(_postings(docs, last, parts, 1.0)), "lists")
     meets = lists.groupBy("node", "n").count().where(F.col("count") >= _least_short(F.col("n")))
-    lists = stored(lists.join(meets.select("node"), "node", "left_semi"), "lists")
+    lists = lists.join(meets.select("node"), "node", "left_semi")
+    members = lists.where("node <> hub").select("hub", "node").distinct()
+    wide = members.groupBy("hub").count().where(F.col("count") >= BLOCK).select("hub")
+    several = lists.join(wide, "hub", "left_semi").select("shingle").union(lists.where("part > 0").select("shingle")).distinct()
+    lists = stored(lists.join(several.withColumn("split", F.lit(True)), "shingle", "left").withColumn("split", F.coalesce("split", F.lit(False))), "lists")
     members = lists.where("node <> hub").select("hub", "node").distinct()
     blocks = stored(_with_partners(_dealt(members), lists), "blocks")
     links = stored(_links_in_blocks(blocks, docs, nodes), "links")
     labels = stored(components(links), "labels")
-    wide = members.groupBy("hub").count().where(F.col("count") >= BLOCK)
-    several = lists.where("part > 0").select("shingle").union(lists.join(wide, "hub", "left_semi").select("shingle")).distinct()
-    pairs = stored(_mixed(lists.join(several, "shingle", "left_semi"), labels), "pairs")
+    pairs = stored(_mixed(lists.where("split"), labels), "pairs")
     if not pairs.isEmpty():
         more = stored(_links_in_blocks(_dealt(pairs), docs, nodes), "links")
         labels = stored(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels")
