@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from countcast.llm import decontaminate, jaccard_join, quality_classifier, quality_rules, sentence_pieces, substring_dedup, token_files, warc
+from countcast.llm import decontaminate, jaccard_join, license_scan, quality_classifier, quality_rules, sentence_pieces, substring_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_sentence_pieces": op7_sentence_pieces,
     "op8_warc": op8_warc,
