@@ -9,18 +9,17 @@ that is the same for all. Here the order is by hash, with the shingles that very
 hold last: those are the long lists, which nobody merges who can do without.
 
 1. The first n - L shingles of each document make the inverted lists. The documents of a list go
-   to the list's hub (its first node); a hub's documents are dealt to blocks of bounded size, the
-   hub in each. A block merges its short lists with a heap that skips what cannot reach T - L;
-   documents without a partner there leave the block.
-2. The texts of those that are left come to their blocks, where DivideSkip runs on the whole
+   to the list's hub (its smallest node). A hub's documents are dealt to blocks of bounded size,
+   and each two blocks of a hub are a task. It merges its short lists with a heap that skips what
+   cannot reach T - L; documents without a partner there leave the task.
+2. The texts of those that are left come to their tasks, where DivideSkip runs on the whole
    sets: short lists are merged, the L longest probed by binary search, and documents that reach
-   the overlap are linked, unless the block's links so far connect them anyway.
-3. Lists whose documents went to several blocks are counted again, only between documents that
-   the links so far leave in different components; pairs with T - L of them go to blocks likewise.
+   the overlap are linked, unless the task's links so far connect them anyway.
 
-So each pair that shares enough first shingles is compared in a block or is connected already:
-the components are exact. Rows (shingle, node), and the texts once, are shuffled, and no task
-holds more than a block.
+So each pair that shares enough first shingles is compared in a task or is connected already
+there: the components are exact. Rows (shingle, node), and the texts once, are shuffled; no task
+holds more than two blocks. Crowds of documents that share lists without being similar cost a
+task for each two blocks: the pairs are counted in the tasks and never become rows.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; component_id
 is the smallest doc_id of the component, itself where there is no link (null keys are larger than
@@ -50,7 +49,7 @@ from countcast.workspace import stored
 SHINGLE = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Documents of a block besides its hub (on average).
+#: Documents of a block (on average).
 BLOCK = 512
 #: A shingle of more documents than this is ordered last and its list is dealt in parts of so many.
 LONG = 512
@@ -154,7 +153,8 @@ def _postings(docs: DataFrame, last: np.ndarray, parts: np.ndarray, share: float
                     dealt = np.zeros(len(first), np.int64)
                     hot = is_last[first]
                     if hot.any():
-                        dealt[hot] = node % parts[at[first[hot]]]
+                        salt = mixed(own[first[hot]].view(np.uint64) ^ np.uint64(node & (1 << 64) - 1))
+                        dealt[hot] = 1 + salt % parts[at[first[hot]]].astype(np.uint64)
                     out.append((own[first], dealt, np.full(len(first), node), np.full(len(first), n)))
                 if out:
                     columns = [np.concatenate(c) for c in zip(*out)]
@@ -173,9 +173,10 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_lists(postings: DataFrame) -> DataFrame:
-    """(shingle, part, node, n, hub) of the lists of two documents or more.
+    """(shingle, node, n, hub) of the lists of two documents or more.
 
-    Lists arrive sorted and are read as a stream; the first node of a list is its hub.
+    Lists, or their parts, arrive sorted and are read as a stream. The smallest node of a list is
+    its hub, of one in parts the smallest of the parts' hubs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,8 @@ def shared_lists(postings: DataFrame) -> DataFrame:
                 hub[: begins[1] if len(begins) > 1 else None] = held[4][0]
             send = same_list & ~again
             send[begins[np.logical_or.reduceat(send, begins)]] = True
-            if held and held[4][0] != held[2][0]:
+            send |= (part > 0) & ~again  # a part of a list: the others are elsewhere
+            if held and (part[0] > 0 or held[4][0] != held[2][0]):
                 send[0] = False  # it was sent with the batch before
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shingle[send]), pa.array(part[send].astype(np.int32)), pa.array(node[send]), pa.array(n[send].astype(np.int32)), pa.array(hub[send])],
@@ -204,7 +206,9 @@ def shared_lists(postings: DataFrame) -> DataFrame:
             held = [shingle[-1:], part[-1:], node[-1:], n[-1:], hub[-1:]]
 
     by_list = postings.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "node")
-    return by_list.mapInArrow(run, "shingle bigint, part int, node bigint, n int, hub bigint")
+    lists = stored(by_list.mapInArrow(run, "shingle bigint, part int, node bigint, n int, hub bigint"), "lists")
+    tops = lists.where("part > 0").groupBy("shingle").agg(F.min("hub").alias("top"))
+    return lists.join(tops, "shingle", "left").select("shingle", "node", "n", F.coalesce("top", "hub").alias("hub"))
 
 
 def t_occurrence(lists: list[list[int]], least: int, low: int, long: int) -> Iterator[tuple[int, int]]:
@@ -337,28 +341,31 @@ def partners(nodes: list[int], sizes: list[int], shingles: list[list[int]], hubs
 
 
 def _dealt(members: DataFrame) -> DataFrame:
-    """(hub, block, node): every hub's nodes in blocks, the hub in each of them."""
+    """(hub, block, other, node): the nodes of a hub in blocks, each block with each other one.
+
+    A hub of one block is a task by itself (block 0 with 0).
+    """
     sizes = members.groupBy("hub").agg((1 + F.floor(F.count("*") / BLOCK)).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "hub").select("hub", F.pmod("node", "blocks").cast("int").alias("block"), "node")
-    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("hub").alias("node"))
-    return dealt.unionByName(hubs)
+    own = F.pmod(F.xxhash64("hub", "node"), "blocks").cast("int")
+    placed = members.join(sizes, "hub").select("hub", "node", "blocks", own.alias("own"))
+    with_others = placed.select("hub", "node", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("second")).where("blocks = 1 or own <> second")
+    return with_others.select("hub", F.least("own", "second").alias("block"), F.greatest("own", "second").alias("other"), "node")
 
 
 def _with_partners(dealt: DataFrame, lists: DataFrame) -> DataFrame:
     """The rows of blocks whose document meets another of the block in enough short lists."""
-    # the order of the lists is the same for all: those in one block each, then the others
-    listed = F.array_sort(F.collect_list(F.struct("split", "shingle", "hub")))
+    listed = F.array_sort(F.collect_list(F.struct("shingle", "hub")))
     own = lists.groupBy("node").agg(F.first("n").alias("n"), listed.alias("listed"))
     own = own.select("node", "n", F.col("listed.shingle").alias("shingles"), F.col("listed.hub").alias("hubs"))
 
     def run(key, group):
-        hub, block = (int(k) for k in key)
+        hub, block, other = (int(k) for k in key)
         nodes = group["node"].tolist()
         shingles = [s.tolist() for s in group["shingles"]]
         left = sorted(partners(nodes, group["n"].tolist(), shingles, [h.tolist() for h in group["hubs"]], hub))
-        return pd.DataFrame({"hub": hub, "block": block, "node": [nodes[i] for i in left]})
+        return pd.DataFrame({"hub": hub, "block": block, "other": other, "node": [nodes[i] for i in left]})
 
-    return dealt.join(own, "node").groupBy("hub", "block").applyInPandas(run, "hub bigint, block int, node bigint")
+    return dealt.join(own, "node").groupBy("hub", "block", "other").applyInPandas(run, "hub bigint, block int, other int, node bigint")
 
 
 def _links_in_blocks(dealt: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -374,23 +381,7 @@ def _links_in_blocks(dealt: DataFrame, docs: DataFrame, nodes: DataFrame) -> Dat
         nodes = group["node"].to_numpy()
         return pd.DataFrame([(nodes[a], nodes[b]) for a, b in block_links(sets)], columns=["a", "b"])
 
-    return placed.select("hub", "block", "node", "text").groupBy("hub", "block").applyInPandas(run, "a bigint, b bigint")
-
-
-def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(hub, node) for pairs in different components that these lists bring together in number.
-
-    A pair that also meets in a list of one block was compared there.
-    """
-    labelled = lists.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
-    ends = labelled.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    some = stored(labelled.join(ends.select("shingle"), "shingle"), "mixed-lists")
-    a, b = some.alias("a"), some.alias("b")
-    fits = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.root") < F.col("b.root"))
-    fits &= (100 * F.col("a.n") >= PERCENT * F.col("b.n")) & (100 * F.col("b.n") >= PERCENT * F.col("a.n"))
-    met = a.join(b, fits).groupBy(F.col("a.node").alias("hub"), F.col("b.node").alias("node"))
-    enough = F.col("count") >= _least_short(F.col("n"))
-    return met.agg(F.count("*").alias("count"), F.first(F.least("a.n", "b.n")).alias("n")).where(enough).select("hub", "node")
+    return placed.select("hub", "block", "other", "node", "text").groupBy("hub", "block", "other").applyInPandas(run, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
@@ -403,21 +394,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | No
     docs = docs.select(F.col(row).alias("row"), *columns) if row else with_row_ids(docs.select(*columns), "row")
     nodes = stored(nodes_of_rows(docs), "nodes")
     last, parts = frequent(docs)
-    lists = stored(shared_lists(_postings(docs, last, parts, 1.0)), "lists")
+    lists = shared_lists(_postings(docs, last, parts, 1.0))
     meets = lists.groupBy("node", "n").count().where(F.col("count") >= _least_short(F.col("n")))
-    lists = lists.join(meets.select("node"), "node", "left_semi")
-    members = lists.where("node <> hub").select("hub", "node").distinct()
-    wide = members.groupBy("hub").count().where(F.col("count") >= BLOCK).select("hub")
-    several = lists.join(wide, "hub", "left_semi").select("shingle").union(lists.where("part > 0").select("shingle")).distinct()
-    lists = stored(lists.join(several.withColumn("split", F.lit(True)), "shingle", "left").withColumn("split", F.coalesce("split", F.lit(False))), "lists")
-    members = lists.where("node <> hub").select("hub", "node").distinct()
-    blocks = stored(_with_partners(_dealt(members), lists), "blocks")
-    links = stored(_links_in_blocks(blocks, docs, nodes), "links")
-    labels = stored(components(links), "labels")
-    pairs = stored(_mixed(lists.where("split"), labels), "pairs")
-    if not pairs.isEmpty():
-        more = stored(_links_in_blocks(_dealt(pairs), docs, nodes), "links")
-        labels = stored(components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "labels")
+    lists = stored(lists.join(meets.select("node"), "node", "left_semi"), "lists")
+    blocks = stored(_with_partners(_dealt(lists.select("hub", "node").distinct()), lists), "blocks")
+    labels = stored(components(_links_in_blocks(blocks, docs, nodes)), "labels")
     least = nodes.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     roots = least.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component_id"))
