@@ -63,7 +63,7 @@ def test_join_equals_brute_force(spark, documents, monkeypatch):
     texts = {r.doc_id: shingles(r.text or "") for r in docs.collect()}
     linked = [(a, b) for a, b in combinations(texts, 2) if texts[a] and 100 * len(texts[a] & texts[b]) >= 75 * len(texts[a] | texts[b])]
     want = {k: (len(texts[k]), c) for k, c in groups(list(texts), linked).items()}
-    for block, long in ((512, 512), (8, 5)):  # small bounds bring the later rounds into play
+    for block, long in ((512, 512), (8, 5)):  # small bounds give hubs of many blocks and lists in parts
         monkeypatch.setattr(jaccard_join, "BLOCK", block)
         monkeypatch.setattr(jaccard_join, "LONG", long)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
