@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def numeric_year(fiscal_year: Column) -> Column:
-    """``'2016/17'`` -> ``2016.0``; a malformed year gives null instead of failing the job."""
-    return F.substring(fiscal_year, 1, 4).try_cast("double")
+    """``'2016/17'`` -> ``2016.0``; what does not begin with four digits gives null."""
+    return F.when(fiscal_year.rlike(r"^[0-9]{4}"), F.substring(fiscal_year, 1, 4).try_cast("double"))
 
 
 def start_year(fiscal_year: Column) -> Column:

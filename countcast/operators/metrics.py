@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,18 +34,23 @@ def regression_metrics(scored: DataFrame, predictions: Mapping[str, str], label:
     return one_row.select(F.inline(per_model))
 
 
+def _rank() -> Column:
+    """R2, then the name; a model whose R2 is no number ranks below all others."""
+    return F.struct(F.when(~F.isnan("r2"), F.col("r2")).alias("r2"), F.col("model"))
+
+
 def with_best(metrics: DataFrame) -> DataFrame:
     """Flags the model with the highest R2; the name breaks ties. One row per model."""
     gathered = metrics.agg(
         F.collect_list(F.struct(*metrics.columns)).alias("rows"),
-        F.max_by("model", F.struct("r2", F.col("model"))).alias("best"),
+        F.max_by("model", _rank()).alias("best"),
     )
     flagged = F.transform("rows", lambda r: r.withField("is_best", r["model"] == F.col("best")))
     return gathered.select(F.inline(flagged))
 
 
 def best_model(metrics: DataFrame) -> DataFrame:
-    return metrics.agg(F.max_by("model", F.struct("r2", F.col("model"))).alias("model"))
+    return metrics.agg(F.max_by("model", _rank()).alias("model"))
 
 
 def calibration(stacked: DataFrame, width: float, label: str = "original_label") -> DataFrame:

@@ -14,27 +14,24 @@ from countcast.workspace import stored
 
 Scenario = Mapping[str, Sequence[str]]
 
-# Option lists become part of a query plan. A longer "option list" means the column is
-# not a dimension but an identifier, and is refused rather than cut short.
-MAX_OPTIONS = 100_000
-
-
 def option_catalogue(df: DataFrame, spec: CountSpec) -> DataFrame:
     """Distinct ``(dimension, value)`` of all dimensions from one scan. Null is no option."""
     return by_dimension(df, spec.dims).filter("value is not null").distinct()
 
 
-def bounded_options(catalogue: DataFrame) -> DataFrame:
-    """The catalogue as a stored table, known to be short enough for lists.
+def bounded_options(catalogue: DataFrame, max_options: int | None = None) -> DataFrame:
+    """The catalogue as a stored table: the facts are scanned once for all its uses.
 
-    The facts are scanned once; reading the result again costs nothing. A dimension with
-    more than ``MAX_OPTIONS`` options raises before any list is built from it.
+    With ``max_options``, a dimension of more options raises before any list is built from
+    it; nothing is ever cut short.
     """
     options = stored(catalogue, "options")
-    sizes = options.groupBy("dimension").count().filter(F.col("count") > MAX_OPTIONS)
+    if max_options is None:
+        return options
+    sizes = options.groupBy("dimension").count().filter(F.col("count") > max_options)
     too_long = sorted(r.dimension for r in sizes.select("dimension").collect())
     if too_long:
-        raise ValueError(f"more than {MAX_OPTIONS} options in {too_long}")
+        raise ValueError(f"more than {max_options} options in {too_long}")
     return options
 
 
@@ -134,15 +131,15 @@ def default_scenario(catalogue: DataFrame) -> dict[str, list[str]]:
     return {r.dimension: [r.value] for r in clear_selection(catalogue).collect()}
 
 
-def scenario_lists(catalogue: DataFrame, spec: CountSpec, scenario: Scenario) -> dict[str, list[str]]:
+def scenario_lists(catalogue: DataFrame, spec: CountSpec, scenario: Scenario, max_options: int | None = None) -> dict[str, list[str]]:
     """The resolved selection as value lists in dimension order.
 
-    This collects option lists, not facts, and only after checking their length. Values
-    of open dimensions are sorted, given ones keep their order.
+    This collects option lists, not facts; ``max_options`` refuses longer ones. Values of
+    open dimensions are sorted, given ones keep their order.
     """
     open_dims = [d for d in spec.dims if not scenario.get(d)]
     needed = catalogue.filter(F.col("dimension").isin(open_dims))
-    chosen = resolve_selection(bounded_options(needed), {d: v for d, v in scenario.items() if not v})
+    chosen = resolve_selection(bounded_options(needed, max_options), {d: v for d, v in scenario.items() if not v})
     lists: dict[str, list[str]] = {d: list(scenario.get(d) or ()) for d in spec.dims}
     for row in chosen.orderBy("dimension", "value").collect():
         lists[row.dimension].append(row.value)

@@ -33,12 +33,13 @@ def top_by(df: DataFrame, spec: CountSpec, *dims: str, k: int = 15) -> DataFrame
     return total_by(df, spec, *dims).limit(k)
 
 
-def pivot_totals(df: DataFrame, spec: CountSpec, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
+def pivot_totals(df: DataFrame, spec: CountSpec, rows: str, columns: str, values: Sequence[str] | None = None) -> DataFrame:
     """Totals as a ``rows`` x ``columns`` table, absent combinations as zero.
 
-    ``values`` are given (from the option catalogue), so no extra job looks for them.
+    All values found become columns, in their order. ``values`` (from an option catalogue)
+    spare the job that looks for them, and leave out all others.
     """
-    wide = df.groupBy(rows).pivot(columns, list(values)).agg(F.sum(spec.target))
+    wide = df.groupBy(rows).pivot(columns, list(values) if values is not None else None).agg(F.sum(spec.target))
     return wide.na.fill(0).orderBy(rows)
 
 

@@ -66,6 +66,20 @@ def score(requests: DataFrame, spec: CountSpec, model: PipelineModel) -> DataFra
     return scored.withColumnRenamed("prediction_0", "final_prediction")
 
 
+def answered(requests: DataFrame, spec: CountSpec, model: PipelineModel) -> DataFrame:
+    """Every request with ``final_prediction`` or, where it cannot be scored, a ``reason``.
+
+    One pass: faulty requests go through the model under labels it has never seen, and their
+    predictions are then discarded.
+    """
+    asked = requests.withColumn("reason", reject_reason(spec)).withColumn("asked", F.struct(*spec.dims))
+    safe = asked.withColumns({d: F.when(F.col("reason").isNull(), F.col(d)).otherwise(F.lit("0000")) for d in spec.dims})
+    scored, _ = apply_models(safe, spec, {"model": model})
+    kept = [F.col(f"asked.{c}").alias(c) if c in spec.dims else F.col(c) for c in requests.columns]
+    prediction = F.when(F.col("reason").isNull(), F.col("prediction_0"))
+    return scored.select(*kept, prediction.alias("final_prediction"), "reason")
+
+
 def score_models(requests: DataFrame, spec: CountSpec, models: Mapping[str, PipelineModel]) -> DataFrame:
     """The results of several models stacked: one row per request and model."""
     scored, columns = apply_models(valid_requests(requests, spec), spec, models)
@@ -87,8 +101,9 @@ def stack_predictions(scored: DataFrame, columns: Mapping[str, str]) -> DataFram
 def reply(scored: DataFrame, spec: CountSpec) -> DataFrame:
     """The answer table: request number, inputs, and the prediction to two decimals."""
     keys = [c for c in ("request_id",) if c in scored.columns]
+    reason = [c for c in ("reason",) if c in scored.columns]
     return scored.select(
-        *keys, *spec.dims, two_decimals(F.col("final_prediction")).alias("predicted_headcount")
+        *keys, *spec.dims, two_decimals(F.col("final_prediction")).alias("predicted_headcount"), *reason
     )
 
 
@@ -139,6 +154,10 @@ class Predictor:
         model = self.models[self.choose(chosen)]
         return reply(score(requests, self.spec, model), self.spec)
 
+    def answer_table(self, requests: DataFrame, model_name: str | None = None) -> DataFrame:
+        """As ``predict_table``, but every request comes back: with a prediction or a reason."""
+        return reply(answered(requests, self.spec, self.models[self.choose(model_name)]), self.spec)
+
 
 def unknown_models(names: DataFrame, registry: DataFrame) -> DataFrame:
     """Requested model names (column ``model``) that the registry does not list."""

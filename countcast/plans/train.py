@@ -158,9 +158,10 @@ def fit_candidates(
     Returns fitted chains (raw columns to prediction) with their settings' fold errors.
     """
     if refit_features:
+        arities = {scope: largest_arity(fit_features(train_rows, scope, kind, fit_indexer(train_rows, scope))) for scope, kind in {(c.scope or spec, c.kind) for c in models}}
         return {
             c.name: tune(
-                Pipeline(stages=[*feature_stages(c.scope or spec, c.kind), c.estimator]),
+                Pipeline(stages=[*feature_stages(c.scope or spec, c.kind), with_bins(c.estimator, arities[c.scope or spec] + 1)]),
                 c.grid, train_rows, folds, parallelism,
             )
             for c in models

@@ -111,6 +111,23 @@ def pivot_year_by_term(spark, path):
     return wide.withColumnsRenamed({t: t.lower().replace(" ", "_") for t in TERMS})
 
 
+@query(
+    "A8_pivot_all_terms",
+    """select fiscal_year,
+  cast(sum(case when term_type = 'Extra term' then headcount else 0 end) as bigint) as extra_term,
+  cast(sum(case when term_type = 'Fall term' then headcount else 0 end) as bigint) as fall_term,
+  cast(sum(case when term_type = 'Spring term' then headcount else 0 end) as bigint) as spring_term,
+  cast(sum(case when term_type = 'Winter term' then headcount else 0 end) as bigint) as winter_term
+from (select fiscal_year, case when campus = 'ASIA' and term_type = 'Fall term' then 'Extra term' else term_type end as term_type, headcount from headcount)
+group by fiscal_year""",
+)
+def pivot_all_terms(spark, path):
+    """The terms are those found; one campus names its own."""
+    own = F.when((F.col("campus") == "ASIA") & (F.col("term_type") == "Fall term"), "Extra term").otherwise(F.col("term_type"))
+    wide = rollup.pivot_totals(order_lines(spark, path).withColumn("term_type", own), HEADCOUNT, "fiscal_year", "term_type")
+    return wide.withColumnsRenamed({t: t.lower().replace(" ", "_") for t in wide.columns})
+
+
 @query(
     "X8_missing_to_zero",
     """select campus, cast(coalesce(sum(case when program_level = 'A' and coop_regular = 'Co-op' then headcount end), 0)

@@ -19,7 +19,7 @@ from countcast.queries.profiles import REQUEST_ID_SQL
 from countcast.sources.facts import request_table
 from countcast.sources.star import headcount, order_lines, table
 from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS
-from countcast.streaming import request_stream, score_stream, start_scoring
+from countcast.streaming import answer_stream, request_stream, score_stream, start_scoring
 from countcast.workspace import scratch_path
 
 _DIMS = ", ".join(HEADCOUNT.dims)
@@ -155,6 +155,41 @@ def rejected_requests(spark, path):
     return score.rejected_requests(_faulty(spark, path), ALL_DIMS).select("request_id", "reason")
 
 
+_STRANGE = ("NaN", "9e99", " ", "20a6/27", "1998/99")
+
+
+def _strange(spark, path):
+    """Requests of which those of each study year have another kind of year, one of them good."""
+    kind = F.element_at(F.array(*map(F.lit, _STRANGE)), F.substring("study_year", 1, 1).try_cast("int"))
+    return _faulty(spark, path).withColumn("fiscal_year", F.coalesce(kind, F.col("fiscal_year")))
+
+
+_STRANGE_SQL = f"""faulty as (select * from ({_FAULTY.removeprefix("requests as (")}),
+asked as (select * replace (coalesce({list(_STRANGE)!r}[try_cast(substr(study_year, 1, 1) as integer)], fiscal_year) as fiscal_year) from faulty),
+requests as (select *, case when campus is null then 'missing campus' when not regexp_matches(fiscal_year, '^[0-9]{{4}}') then 'malformed year' end as reason from asked)"""
+_ANSWERS = f"""select request_id, case when reason is null then round(final_prediction, 2) end as predicted_headcount, reason
+from ({predictions_sql("requests", "request_id, reason")}) where model = '{train.FOREST}'""".replace(
+    "cast(substr(fiscal_year, 1, 4) as double) + intercept", "try_cast(substr(fiscal_year, 1, 4) as double) + intercept"
+)
+
+
+@query("W2_every_request_answered", _ANSWERS, ctes=f"{TRAINED},{_STRANGE_SQL}")
+def every_request_answered(spark, path):
+    replies = _best(closed_form_run(spark, path)).answer_table(_strange(spark, path), train.FOREST)
+    return replies.select("request_id", "predicted_headcount", "reason")
+
+
+@query("T1_stream_with_rejects", _ANSWERS, ctes=f"{TRAINED},{_STRANGE_SQL}")
+def stream_with_rejects(spark, path):
+    """The faulty requests arriving as files: the stream answers each and goes on."""
+    inbox, output, checkpoint = (scratch_path(spark, f"faulty-{part}") for part in ("in", "out", "state"))
+    _strange(spark, path).write.parquet(inbox)
+    run = closed_form_run(spark, path)
+    replies = answer_stream(request_stream(spark, inbox, ALL_DIMS), ALL_DIMS, run.models[train.FOREST])
+    start_scoring(replies, output, checkpoint, once=True).awaitTermination()
+    return spark.read.schema(replies.schema).parquet(output).select("request_id", "predicted_headcount", "reason")
+
+
 @query(
     "X4_valid_requests_scored",
     f"""select request_id, round(final_prediction, 2) as predicted_headcount

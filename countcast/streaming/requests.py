@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from countcast.plans.score import reply, score
+from countcast.plans.score import answered, reply, score
 from countcast.spec import CountSpec
 
 
@@ -23,6 +23,11 @@ def score_stream(requests: DataFrame, spec: CountSpec, model: PipelineModel) ->
     return reply(score(requests, spec, model), spec)
 
 
+def answer_stream(requests: DataFrame, spec: CountSpec, model: PipelineModel) -> DataFrame:
+    """As ``score_stream``, but every request comes back: with a prediction or a reason."""
+    return reply(answered(requests, spec, model), spec)
+
+
 def start_scoring(
     replies: DataFrame, output: str, checkpoint: str, format: str = "parquet", once: bool = False
 ) -> StreamingQuery:

@@ -7,7 +7,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from countcast.operators import filters, grid, options, profile, rollup
+from countcast.functions import numeric_year
+from countcast.operators import filters, grid, metrics, options, profile, rollup
 from countcast.spec import HEADCOUNT, CountSpec
 from countcast.sources.star import headcount
 from tests.conftest import SMALL
@@ -30,6 +31,32 @@ def test_trend_is_sorted_by_key(facts, spec):
     assert years == ["2019/20", "2020/21", "2021/22", "2022/23"]
 
 
+def test_pivot_takes_all_values_found(facts, spec):
+    wide = rollup.pivot_totals(facts.dropna(), spec, "fiscal_year", "term_type")
+    assert wide.columns == ["fiscal_year", "Fall term", "Spring term", "Winter term"]
+    assert sum(sum(r[1:]) for r in wide.collect()) == facts.dropna().groupBy().sum("headcount").first()[0]
+
+
+def test_more_options_than_any_list_had(spark, spec):
+    many = spark.range(100_001).selectExpr("'campus' as dimension", "cast(id as string) as value")
+    assert options.option_lists(options.bounded_options(many)).selectExpr("size(options)").first()[0] == 100_001
+
+
+def test_years_need_four_digits(spark):
+    years = spark.createDataFrame([("2016/17",), ("NaN",), ("9e99",), ("20a6",), ("",), (None,), ("2016",)], "y string")
+    assert [r.n for r in years.select(numeric_year(F.col("y")).alias("n")).collect()] == [2016.0, None, None, None, None, None, 2016.0]
+
+
+def test_estimates_count_nulls_and_doubles(spark):
+    df = spark.createDataFrame([(1.5, "a"), (2.5, None), (None, "a")], "x double, y string")
+    assert dict(profile.approx_distinct_counts(df).collect()) == {"x": 3, "y": 2}
+
+
+def test_a_model_without_a_score_is_never_best(spark):
+    rows = spark.createDataFrame([("a", float("nan")), ("b", 0.1), ("c", None)], "model string, r2 double")
+    assert metrics.best_model(rows).first()[0] == "b"
+
+
 def test_pivot_fills_absent_combinations(facts, spec):
     wide = rollup.pivot_totals(facts, spec, "fiscal_year", "term_type", ["Fall term", "Spring term"])
     assert rows(wide) == [("2019/20", 10, 7), ("2020/21", 12, 5), ("2021/22", 31, 0), ("2022/23", 16, 0)]
@@ -124,7 +151,7 @@ def test_toggle_adds_removes_and_keeps_the_last(spark):
     assert sorted(rows(options.toggle(start, "b", "z"))) == [("a", "x"), ("a", "y"), ("b", "z")]
 
 
-def test_scenario_lists_resolve_and_refuse_identifiers(facts, spec, monkeypatch):
+def test_scenario_lists_resolve_and_refuse_identifiers(facts, spec):
     catalogue = options.option_catalogue(facts, spec)
     lists = options.scenario_lists(
         catalogue, spec, {"term_type": [], "fiscal_year": ["2029/30", "2019/20"]}
@@ -136,9 +163,8 @@ def test_scenario_lists_resolve_and_refuse_identifiers(facts, spec, monkeypatch)
         "campus": ["Main"],
     }
     assert options.default_scenario(catalogue)["faculty_group"] == ["ARTS"]
-    monkeypatch.setattr(options, "MAX_OPTIONS", 2)
     with pytest.raises(ValueError, match="faculty_group"):
-        options.scenario_lists(catalogue, spec, {})
+        options.scenario_lists(catalogue, spec, {}, max_options=2)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
