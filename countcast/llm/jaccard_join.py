@@ -30,10 +30,9 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -58,6 +57,8 @@ COUNTED = 0.25
 #: At most so many shingles are ordered last: the most frequent ones. A bound on what is sent to
 #: the tasks; the order decides the work and never the result.
 LAST = 1 << 20
+#: Entries of short lists up to which a heap merges them.
+HEAPED = 4096
 _ROW = "__row_of_table__"
 #: DivideSkip's weight of probing against merging.
 MU = 0.01
@@ -246,58 +247,83 @@ def t_occurrence(lists: list[list[int]], least: int, low: int, long: int) -> Ite
                 heapq.heappush(heap, (short[i][place[i]], i))
 
 
+class Lists:
+    """Inverted lists of some documents' sets, the documents in ascending order of size."""
+
+    def __init__(self, sets: list[list[int]]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.edges = np.concatenate(([0], np.cumsum(self.sizes)))
+        _, which = np.unique(np.concatenate([np.array(s, np.int64) for s in sets]), return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        #: Documents of all lists, list by list, ascending within each.
+        self.docs = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        begins = np.concatenate(([0], np.cumsum(np.bincount(which))))
+        self.begin = begins[which]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+
+    def before(self, x: int) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, end) in ``docs`` of x's lists as far as they hold earlier documents, the
+        shortest first; empty ones are left out."""
+        own = slice(self.edges[x], self.edges[x + 1])
+        begin, end = self.begin[own], self.place[own]
+        some = np.flatnonzero(end > begin)
+        some = some[np.argsort((end - begin)[some], kind="stable")]
+        return begin[some], end[some]
+
+    def meeting(self, begin: np.ndarray, end: np.ndarray, least: int, low: int) -> tuple[np.ndarray, np.ndarray]:
+        """(documents >= low in ``least`` of these lists or more, in how many), ascending.
+
+        A heap merges the lists, skipping what cannot reach ``least``. Where the lists hold more
+        than HEAPED entries, most of them have to be popped, and they are counted at once.
+        """
+        if len(begin) < least:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        lengths = end - begin
+        if lengths.sum() <= HEAPED:
+            found = list(t_occurrence([self.docs[a:b].tolist() for a, b in zip(begin, end)], least, low, 0))
+            return np.array([y for y, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        counts = np.bincount(self.docs[np.repeat(begin - starts, lengths) + np.arange(lengths.sum())])
+        counts[:low] = 0
+        docs = np.flatnonzero(counts >= least)
+        return docs, counts[docs]
+
+
 def block_links(sets: list[list[int]]) -> list[tuple[int, int]]:
     """Links that connect what the similarity connects among these sets (a spanning forest)."""
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))  # lists stay sorted as documents are added
-    sizes = [len(sets[i]) for i in order]
+    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    if not order:
+        return []
+    lists = Lists([sets[i] for i in order])
+    sizes = lists.sizes
+    component = np.arange(len(order))
     links = []
-    # the lists of documents that are linked with none, and those of each component: what is in
-    # one component with x already need not be found again
-    alone: dict[int, list[int]] = {}
-    joint: dict[int, dict[int, list[int]]] = {}
-
-    def first_link(index: dict[int, list[int]], x: int, n: int, low: int, least: int) -> Iterator[int]:
-        """Documents of one index that x links with, one after the other."""
-        lists = sorted((found for s in sets[order[x]] if (found := index.get(s))), key=len)
-        if len(lists) < least:
-            return
-        long = min(least - 1, int(least / (MU * math.log2(len(lists[-1]) + 1) + 1)), len(lists))
-        probes = lists[len(lists) - long :]
-        for y, count in t_occurrence(lists, least, low, long):
-            want = overlap(n, sizes[y])
-            for left, elements in zip(range(len(probes), 0, -1), probes):
-                if count >= want or count + left < want:
-                    break
-                at = bisect_left(elements, y)
-                count += at < len(elements) and elements[at] == y
-            if count >= want:
-                yield y
-
-    for x, i in enumerate(order):
-        n, least = sizes[x], needed(sizes[x])
-        low = bisect_left(sizes, least)
-        met = list(first_link(alone, x, n, low, least)) if low < x else []
-        tops = [] if low >= x else [(y, top) for top, index in joint.items() for y in islice(first_link(index, x, n, low, least), 1)]
-        links += [(order[y], i) for y in met] + [(order[y], i) for y, _ in tops]
-        if not met and not tops:
-            for s in sets[i]:
-                alone.setdefault(s, []).append(x)
+    for x in range(1, len(order)):
+        n = int(sizes[x])
+        least = needed(n)
+        low = int(np.searchsorted(sizes, least))
+        begin, end = lists.before(x)
+        if low >= x or len(begin) < least:
             continue
-        for y in met:
-            for s in sets[order[y]]:
-                alone[s].remove(y)
-        merged = [joint.pop(top) for _, top in tops]
-        index = max(merged, key=len, default={})
-        for other in merged:
-            if other is not index:
-                for s, found in other.items():
-                    index[s] = sorted(index.get(s, []) + found)
-        for y in met:
-            for s in sets[order[y]]:
-                insort(index.setdefault(s, []), y)
-        for s in sets[i]:
-            index.setdefault(s, []).append(x)
-        joint[x] = index
+        longest = int(end[-1] - begin[-1])
+        long = min(least - 1, int(least / (MU * math.log2(longest + 1) + 1)), len(begin))
+        short = len(begin) - long
+        docs, counts = lists.meeting(begin[:short], end[:short], least - long, low)
+        want = -(-PERCENT * (n + sizes[docs]) // (100 + PERCENT))
+        for left, (a, b) in zip(range(long, 0, -1), zip(begin[short:], end[short:])):  # binary probes
+            able = counts + left >= want
+            if not able.all():
+                docs, counts, want = docs[able], counts[able], want[able]
+            if not len(docs) or (counts >= want).all():
+                break
+            held = lists.docs[a:b]
+            at = np.minimum(np.searchsorted(held, docs), len(held) - 1)
+            counts = counts + (held[at] == docs)
+        for y in docs[counts >= want].tolist():
+            if component[y] != component[x]:
+                links.append((order[y], order[x]))
+                component[component == component[y]] = component[x]
     return links
 
 
@@ -309,35 +335,24 @@ def partners(nodes: list[int], sizes: list[int], shingles: list[list[int]], hubs
     """
     order = sorted(range(len(nodes)), key=lambda i: (sizes[i], nodes[i]))
     ordered = [sizes[i] for i in order]
-    place = [{s: k for k, s in enumerate(shingles[i])} for i in order]
-    found: set[int] = set()
-    # documents that have met none yet, and those that have: the latter need not be met again
-    unmet: dict[int, list[int]] = {}
-    met: dict[int, list[int]] = {}
-
-    def meets(index: dict[int, list[int]], x: int, low: int, least: int) -> Iterator[int]:
+    lists = Lists([shingles[i] for i in order])
+    enough = np.array([least_short(n) for n in ordered])
+    held = [set(shingles[i]) for i in order]
+    found = np.zeros(len(order), bool)
+    for x in range(1, len(order)):
         i = order[x]
-        lists = sorted((have for s in shingles[i] if (have := index.get(s))), key=len)
-        if len(lists) < least:
-            return
-        for y, count in t_occurrence(lists, least, low, 0):
-            if count >= least_short(ordered[y]):
-                common = next(k for k, s in enumerate(shingles[i]) if s in place[y])
-                if hubs[i][common] == hub:
-                    yield y
-
-    for x, i in enumerate(order):
-        low, least = bisect_left(ordered, needed(sizes[i])), least_short(needed(sizes[i]))
-        new = list(meets(unmet, x, low, least)) if low < x else []
-        if new or (low < x and any(True for _ in meets(met, x, low, least))):
-            found |= {x, *new}
-        for y in new:
-            for s in shingles[order[y]]:
-                unmet[s].remove(y)
-                insort(met.setdefault(s, []), y)
-        for s in shingles[i]:
-            (met if x in found else unmet).setdefault(s, []).append(x)
-    return {order[x] for x in found}
+        low = bisect_left(ordered, needed(sizes[i]))
+        if low >= x:
+            continue
+        begin, end = lists.before(x)
+        docs, counts = lists.meeting(begin, end, least_short(needed(sizes[i])), low)
+        for y in docs[counts >= enough[docs]].tolist():
+            if found[x] and found[y]:
+                continue
+            common = next(k for k, s in enumerate(shingles[i]) if s in held[y])
+            if hubs[i][common] == hub:
+                found[x] = found[y] = True
+    return {order[x] for x in np.flatnonzero(found)}
 
 
 def _dealt(members: DataFrame) -> DataFrame:
