@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def with_row_ids(df: DataFrame, name: str) -> DataFrame:
         located = df.select("*", place.alias(name))
         located.schema  # noqa: B018  raises where the rows do not come from files
         return located
-    except Exception as error:
-        if "UNRESOLVED_COLUMN" not in str(error):
+    except AnalysisException as error:
+        if "_metadata" not in str(error):
             raise
     return stored(df, "rows").select("*", place.alias(name))
