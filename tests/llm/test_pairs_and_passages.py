@@ -118,6 +118,39 @@ def test_best_chain_has_the_best_score(points):
     assert abs(score(found[0]) - max(map(score, ascending))) < 1e-9
 
 
+def replaced(text: str, seed: int, share: float) -> str:
+    """The text with exactly this share of its words replaced."""
+    words = text.split()
+    for i in np.random.default_rng(seed).choice(len(words), int(share * len(words)), replace=False):
+        words[i] = f"new{i}of{seed}"
+    return " ".join(words)
+
+
+def test_fuzzy_passages_are_found_down_to_the_identity(spark):
+    cases = [(size, share) for size in (60, 100) for share in (0.10, 0.15, 0.20, 0.25) for _ in range(12)]
+    rows, meant = [], {}
+    for k, (size, share) in enumerate(cases):
+        passage = " ".join(prose(3000 + k, size + 20).split()[:size])
+        other = replaced(passage, k, share)
+        rows += [(2 * k, f"{prose(4000 + k, 60)}\n{passage}\n{prose(5000 + k, 60)}"), (2 * k + 1, f"{prose(6000 + k, 80)}\n{other}\n{prose(7000 + k, 40)}")]
+        assert substring_dedup.common_words(passage.split(), other.split()) >= substring_dedup.IDENTITY * size  # by brute force
+        meant[2 * k, 2 * k + 1] = share
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    recall = {share: sum(p in got for p, s in meant.items() if s == share) / 24 for share in (0.10, 0.15, 0.20, 0.25)}
+    assert got <= set(meant)
+    assert recall[0.10] == 1 and recall[0.15] >= 0.95 and recall[0.20] >= 0.9, recall
+
+
+def test_thinned_matches_cover_the_same_words():
+    pos_a, pos_b = [*range(10, 23), 40, 41, 7], [*range(30, 43), 12, 13, 90]
+    some = list(zip(*substring_dedup.thinned(pos_a, pos_b)))
+
+    def covered(points) -> set:
+        return {(a + i, b + i) for a, b in points for i in range(substring_dedup.KMER)}
+
+    assert covered(some) == covered(zip(pos_a, pos_b)) and len(some) == 7
+
+
 def test_wide_gaps_part_passages():
     near, far = [(5 * k, 5 * k) for k in range(60)], [(900 + 5 * k, 700 + 5 * k) for k in range(60)]
     found = substring_dedup.chains(*zip(*(near + far)))
