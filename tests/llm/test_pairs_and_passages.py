@@ -141,6 +141,14 @@ def test_fuzzy_passages_are_found_down_to_the_identity(spark):
     assert recall[0.10] == 1 and recall[0.15] >= 0.95 and recall[0.20] >= 0.9, recall
 
 
+def test_two_common_lines_in_a_rare_order_are_a_passage(spark):
+    first, second = (" ".join(prose(k, 40).split()[:30]) for k in (8001, 8002))
+    rows = [(k, f"{prose(8100 + k, 60)}\n{(first, second)[k % 2]}\n{prose(8300 + k, 60)}") for k in range(100)]
+    rows += [(k, f"{prose(8500 + k, 60)}\n{first}\n{second}\n{prose(8700 + k, 60)}") for k in (500, 501)]
+    got = {(r.doc_id, r.other_doc_id) for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got & {(500, 501), (501, 500)}
+
+
 def test_thinned_matches_cover_the_same_words():
     pos_a, pos_b = [*range(10, 23), 40, 41, 7], [*range(30, 43), 12, 13, 90]
     some = list(zip(*substring_dedup.thinned(pos_a, pos_b)))
