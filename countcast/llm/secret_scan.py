@@ -40,6 +40,8 @@ from countcast.workspace import stored
 SHORTEST = 16
 #: Words that occur at least once in so many are the dictionary, which therefore is no longer.
 DICTIONARY = 20_000
+#: Word forms that a task counts before it hands them on.
+FORMS = 200_000
 #: Documents (about) whose candidates join the training, and made findings.
 SAMPLE_DOCS, MADE = 400, 4000
 TREES, DEPTH = 30, 8
@@ -67,7 +69,17 @@ class Corpus:
 
 
 def corpus_tables(docs: DataFrame, text: str = "text") -> Corpus:
-    """Counted over all documents in one pass; at most 65,536 transitions and DICTIONARY words."""
+    """Counted over all documents in one pass; at most 65,536 transitions and DICTIONARY words.
+
+    Every word form counts, wherever it stands: a task hands its counts on as rows when it has
+    FORMS of them, and the least frequency holds for the sums over all tasks.
+    """
+
+    def counted_words(words: dict[bytes, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k.decode() for k in words], pa.string()), pa.array([-1] * len(words), pa.int32()), pa.array(list(words.values()), pa.int64())],
+            names=["word", "pair", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, total = np.zeros(65536, np.int64), 0
@@ -79,14 +91,18 @@ def corpus_tables(docs: DataFrame, text: str = "text") -> Corpus:
                     pairs += np.bincount(w.data[:-1].astype(np.int32) * 256 + w.data[1:], minlength=65536)
                 _, first, counts = np.unique(w.lower_hashes, return_index=True, return_counts=True)
                 size = (w.ends - w.starts)[first]
-                for i in np.flatnonzero((counts >= 3) & (size >= 3) & (size < SHORTEST)):
+                for i in np.flatnonzero((size >= 3) & (size < SHORTEST)):
                     word = w.data[w.starts[first[i]] : w.ends[first[i]]].tobytes().lower().strip(b".,;:!?")
                     if word.isalpha():
                         words[word] = words.get(word, 0) + int(counts[i])
+                if len(words) >= FORMS:
+                    yield counted_words(words)
+                    words = {}
+        yield counted_words(words)
         some = np.flatnonzero(pairs)
-        names = ["words in all", *(k.decode() for k in words), *(None for _ in some)]
+        names = ["words in all", *(None for _ in some)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([-1] * (1 + len(words)) + some.tolist(), pa.int32()), pa.array([total, *words.values(), *pairs[some].tolist()], pa.int64())],
+            [pa.array(names, pa.string()), pa.array([-1, *some.tolist()], pa.int32()), pa.array([total, *pairs[some].tolist()], pa.int64())],
             names=["word", "pair", "n"],
         )
 

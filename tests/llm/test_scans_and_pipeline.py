@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import duckdb
 import pytest
@@ -34,6 +35,23 @@ def test_secrets_of_the_tables(spark, documents):
     assert {(r.doc_id, r.start) for r in secret_scan.scan(documents).collect()} == want
 
 
+def test_dictionary_does_not_depend_on_the_layout(spark, documents, monkeypatch):
+    texts = documents.select("text")
+    want = Counter(v for r in texts.collect() for x in re.findall(r"[^\x20\x09-\x0d]+", r.text or "") for v in [_plain(x)] if v)
+    total = sum(len(re.findall(r"[^\x20\x09-\x0d]+", r.text or "")) for r in texts.collect())
+    frequent = {w for w, n in want.items() if n >= max(3, total / secret_scan.DICTIONARY)}
+    assert secret_scan.corpus_tables(texts.repartition(97)).dictionary == frequent == secret_scan.corpus_tables(texts.coalesce(1)).dictionary
+    monkeypatch.setattr(secret_scan, "FORMS", 50)
+    assert secret_scan.corpus_tables(texts.repartition(3)).dictionary == frequent
+
+
+def _plain(word: str) -> bytes | None:
+    """The dictionary form of a word, if it has one."""
+    raw = word.encode()
+    plain = raw.lower().strip(b".,;:!?")
+    return plain if 3 <= len(raw) < secret_scan.SHORTEST and plain.isalpha() else None
+
+
 def test_licences_of_families_are_found(spark, documents, odd, empty):
     notices = [(k, t) for k, ts in license_scan.TEMPLATES.items() for t in ts]
     rows = [(i, f"{prose(i, 40)}\n{notice.upper()}!\n{prose(i + 50, 40)}") for i, (_, notice) in enumerate(notices)]
