@@ -1,7 +1,9 @@
 """Secret scans: candidates from the text, false positives removed by a random forest.
 
 1. One pass over all documents counts byte transitions and frequent words: tables of fixed size.
-2. Every run of ``SHORTEST`` or more letters, digits and ``_+/=-`` is a candidate. Its features are
+2. Every run of ``SHORTEST`` or more letters, digits and ``_+/=-`` is a candidate, and so is every
+   quoted or assigned value after a name with a key word, of any length and alphabet. Findings that
+   overlap are one. The features of a candidate are
    length, character classes and entropy, the mean log-probability of its transitions, the share
    of it that dictionary words cover, the path it stands in, and the words beside it.
 3. A random forest learns from labelled findings. The tables of this engine hold none, so
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from countcast.llm.words import Words, text_slices
 from countcast.workspace import stored
 
-#: Characters of the shortest candidate.
+#: Characters of the shortest candidate that no name stands before.
 SHORTEST = 16
 #: Words that occur at least once in so many are the dictionary, which therefore is no longer.
 DICTIONARY = 20_000
@@ -52,7 +54,18 @@ MASK = "[SECRET]"
 KEYS = ("api", "apikey", "auth", "bearer", "credential", "key", "passwd", "password", "private", "pwd", "secret", "token")
 
 _CANDIDATE = re.compile(rb"[A-Za-z0-9_+/=\-]{%d,}" % SHORTEST)
+#: A name, and the value that is assigned to it or stands behind it in quotes, on one line.
+_VALUE = re.compile(
+    rb"""(?<![A-Za-z0-9_.\-])([A-Za-z0-9_.\-]++)["'`\])]*+[ \t]*+"""
+    rb"""(?:(?:=>|:=|==?|:)[ \t]*+(?:(?i:bearer|basic|token)[ \t]++)?"""
+    rb"""(?:"((?:[^"\\\n]|\\[^\n])++)"|'((?:[^'\\\n]|\\[^\n])++)'|`([^`\n]++)`|["'`]?([^\s"'`]\S*+))"""
+    rb"""|"((?:[^"\\\n]|\\[^\n])++)"|'((?:[^'\\\n]|\\[^\n])++)'|`([^`\n]++)`)"""
+)
+#: What closes an unquoted value and is not of it.
+_CLOSING = b",;.\"'`"
 _LETTERS = re.compile(rb"[a-z]+")
+_SPACE = re.compile(rb"\s")
+_KEYS = tuple(k.encode() for k in KEYS)
 _NOT_WORD = re.compile(rb"[^a-z0-9]+")
 FEATURES = (
     "length", "digits", "upper", "lower", "symbols", "entropy", "hexadecimal", "transitions", "coverage", "longest_letters",
@@ -157,7 +170,7 @@ def features(value: bytes, before: bytes, word: bytes, offset: int, path: bytes,
         math.log(n), digits / n, upper / n, lower / n, (n - digits - upper - lower) / n,
         float(-(share * np.log2(share)).sum()),
         float(digits + int(counts[97:103].sum()) == n or digits + int(counts[65:71].sum()) == n),
-        float(corpus.transitions[data[:-1], data[1:]].mean()),
+        float(corpus.transitions[data[:-1], data[1:]].mean()) if n > 1 else 0.0,
         covered / letters if letters else 0.0,
         max(map(len, runs), default=0) / n,
         float(b"/" in ahead or b"\\" in ahead or b"." in ahead), float(word.count(b"/")),
@@ -184,9 +197,51 @@ def candidates(w: Words, paths: list[str | None], corpus: Corpus) -> Found:
             out.start.append(at)
             out.end.append(start + m.end())
             out.rows.append(features(m[0], raw[line:at], word, m.start(), (paths[t] or "").encode(), corpus))
+    known = set(zip(out.start, out.end))
+    raw = raw or w.data.tobytes()
+    for t in range(w.texts):
+        low, high = int(w.edges[t]), int(w.edges[t + 1])
+        text = raw[low:high]
+        for start, end in values(text):
+            if (low + start, low + end) in known:
+                continue
+            begin = start
+            while begin and text[begin - 1] not in b" \t\n\r\x0b\x0c" and start - begin < 200:
+                begin -= 1
+            line = max(text.rfind(b"\n", 0, start) + 1, start - 200)
+            stop = _SPACE.search(text, end)
+            out.text.append(t)
+            out.start.append(low + start)
+            out.end.append(low + end)
+            row = features(text[start:end], text[line:start], text[begin : stop.start() if stop else len(text)], start - begin, (paths[t] or "").encode(), corpus)
+            row[FEATURES.index("key_before")] = 1.0
+            out.rows.append(row)
     return out
 
 
+def values(text: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the values that names with a key word have in a text."""
+    at = 0
+    while m := _VALUE.search(text, at):
+        at = m.end(1)  # a value may hold names itself
+        name = m[1].lower()
+        if not any(k in name for k in _KEYS):
+            continue
+        start, end = m.span(m.lastindex)
+        if m.lastindex == 5:
+            end = start + len(m[5].rstrip(_CLOSING))
+            while end > start and text[end - 1 : end] in (b")", b"]", b"}") and _unopened(text[start:end]):
+                end -= 1
+        if end > start:
+            yield start, end
+
+
+def _unopened(value: bytes) -> bool:
+    """Whether the bracket at the end closes none of the value."""
+    close = value[-1:]
+    return value.count(close) > value.count({b")": b"(", b"]": b"[", b"}": b"{"}[close])
+
+
 def labelled_texts(count: int = MADE, seed: int = 3) -> list[tuple[str, str, int]]:
     """(text, path, label): findings made by rule, half of them secrets."""
     pick = random.Random(seed)
@@ -220,6 +275,44 @@ def labelled_texts(count: int = MADE, seed: int = 3) -> list[tuple[str, str, int
             f"{lead} {name}{sign}{quote}{pick.choice(('x', '0', 'a', 'XXXX', 'your-key-'))*pick.choice((16, 20, 24))}{quote}",
         )[kind]
         out.append((text, pick.choice(("test/data", "src/main", "")), 0))
+    return out + _labelled_values(count // 2, seed + 1)
+
+
+def _labelled_values(count: int, seed: int) -> list[tuple[str, str, int]]:
+    """(text, path, label): short values and values of any alphabet under key names, half of them
+    secrets."""
+    pick = random.Random(seed)
+    letters, digits, signs = "abcdefghijklmnopqrstuvwxyz", "0123456789", "!@#$%^&*?~+-_."
+    nouns = ["value", "name", "user", "default", "required", "string", "field", "public", "optional", "enabled", "length", "primary", "server", "config", "index", "count", "the", "and", "with", "for"]
+
+    def mixed_up(word: str) -> str:
+        """As people make passwords: capitals, digits and signs within and after a word."""
+        swapped = "".join({"o": "0", "e": "3", "a": "4", "i": "1", "s": "$"}.get(c, c) if pick.random() < 0.5 else c for c in word)
+        return swapped[0].upper() + swapped[1:] + "".join(pick.choice(digits + signs[:4]) for _ in range(pick.randint(1, 4)))
+
+    out = []
+    for k in range(count):
+        name = pick.choice(("", "my_", "db_", "x-", "DB_")) + pick.choice(KEYS) + pick.choice(("", "_value", "2"))
+        sign, quote = pick.choice((" = ", "=", ": ", " => ", ":")), pick.choice(('"', "'", ""))
+        lead = " ".join(pick.choice(nouns) for _ in range(pick.randint(0, 5)))
+        if k % 2:
+            size = pick.randint(7, 24)
+            value = (
+                "".join(pick.choice(letters + letters.upper() + digits + signs) for _ in range(size)),
+                "".join(pick.choice(letters + letters.upper() + digits) for _ in range(size)),
+                mixed_up("".join(pick.choice(letters) for _ in range(pick.randint(6, 12)))),
+                mixed_up(pick.choice(nouns) + pick.choice(nouns)),
+            )[k // 2 % 4]
+        else:
+            value = (
+                pick.choice(nouns),
+                " ".join(pick.choice(nouns) for _ in range(pick.randint(2, 6))) if quote else pick.choice(nouns),
+                str(pick.choice((0, 1, 5, 42, 3306, 8080, 2024, 65536, pick.randint(0, 99999)))),
+                pick.choice(("true", "false", "null", "None", "undefined", "****", "xxxxxxxx", "...", "[SECRET]", "''", "0.75", "1e-5")),
+                pick.choice(("${%s}", "$%s", "<%s>", "{{ %s }}", "os.environ.%s", "get_%s()", "self.%s", "{%s}", "%%(%s)s", "your-%s-here")) % (pick.choice(nouns) + pick.choice(("", "_id"))),
+                pick.choice(("_", "-", ".", "/")).join(pick.choice(nouns) for _ in range(pick.randint(2, 4))),
+            )[k // 2 % 6]
+        out.append((f"{lead} {name}{sign}{quote}{value}{quote}{pick.choice(('', ',', ';', ''))} {lead}", pick.choice(("src/main", "conf/app.ini", "")), k % 2))
     return out
 
 
@@ -302,9 +395,20 @@ def _char_places(w: Words) -> np.ndarray:
 
 
 def _judged(w: Words, paths: list[str | None], corpus: Corpus, forest: Forest, threshold: float) -> tuple[Found, np.ndarray, np.ndarray]:
+    """Findings in order, those that overlap as one with the highest score."""
     found = candidates(w, paths, corpus)
     scores = forest.score(np.array(found.rows)) if found.rows else np.empty(0)
-    return found, scores, np.flatnonzero(scores >= threshold)
+    out, best = Found([], [], [], []), []
+    for i in sorted(np.flatnonzero(scores >= threshold).tolist(), key=lambda i: (found.start[i], found.end[i])):
+        if out.text and found.start[i] < out.end[-1]:
+            out.end[-1] = max(out.end[-1], found.end[i])
+            best[-1] = max(best[-1], scores[i])
+            continue
+        out.text.append(found.text[i])
+        out.start.append(found.start[i])
+        out.end.append(found.end[i])
+        best.append(scores[i])
+    return out, np.array(best), np.arange(len(best))
 
 
 def trained(docs: DataFrame, path: str = "source", text: str = "text", labelled: DataFrame | None = None) -> tuple[Corpus, Forest]:

@@ -35,6 +35,22 @@ def test_secrets_of_the_tables(spark, documents):
     assert {(r.doc_id, r.start) for r in secret_scan.scan(documents).collect()} == want
 
 
+def test_short_and_broken_secrets_under_key_words(spark, documents):
+    secrets = [
+        ('password = "{}"', "Tr0ub4dor8"), ("db_password: {}", "Xk9!vQ2@rT7#mZ4$"), ("DB_PASSWD={};", "hG7$kw2"), ("secret => '{}'", "q8R&zz!Lp0 x"),
+        ('{{"api_key": "{}"}}', "b7Tq9ZpL2m"), ("Authorization: Bearer {}", "zQ4.mN8~pT1.kL6"),
+    ]
+    plain = ["password: required", "key = 42", 'token = ""', "secret = ${vault_name}", 'the key "value" of it', "auth: true", "monkey: the public name"]
+    rows = [(50_000 + k, f"{prose(k, 30)}\n{form.format(value)}\n{prose(k, 20)}") for k, (form, value) in enumerate(secrets)]
+    rows += [(60_000 + k, f"{prose(k, 30)}\n{text}\n{prose(k, 20)}") for k, text in enumerate(plain)]
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    texts = dict(rows)
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length]) for r in secret_scan.scan(docs).where("doc_id >= 50000").collect()}
+    assert got == {(50_000 + k, value) for k, (_, value) in enumerate(secrets)}
+    hidden = {r.doc_id: r.text for r in secret_scan.redact(docs).where("doc_id >= 50000").collect()}
+    assert all(hidden[50_000 + k] == texts[50_000 + k].replace(value, secret_scan.MASK) for k, (_, value) in enumerate(secrets))
+
+
 def test_dictionary_does_not_depend_on_the_layout(spark, documents, monkeypatch):
     texts = documents.select("text")
     want = Counter(v for r in texts.collect() for x in re.findall(r"[^\x20\x09-\x0d]+", r.text or "") for v in [_plain(x)] if v)
