@@ -24,7 +24,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return token_files.token_index(spark, _table(spark, sf_dir, "documents"), vocabulary)
+    return token_files.token_index(spark, _table(spark, sf_dir, "documents"), vocabulary, plain=False)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

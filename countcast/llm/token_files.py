@@ -156,14 +156,25 @@ _PUNCT[[c for c in range(33, 127) if not _ALNUM[c] and c != 39]] = True
 
 
 @cache
-def _tokenizer(path: str):
+def _tokenizer(path: str, plain: bool):
     from tokenizers import Tokenizer
 
     out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings in a text are ordinary text
+    out.encode_special_tokens = plain
     return out
 
 
+@cache
+def _added(path: str) -> tuple[bytes, ...] | None:
+    """The strings of the vocabulary's added tokens; None if they are looked for in normalised
+    text, where their places are not those of the text."""
+    tokenizer = _tokenizer(path, False)
+    added = tokenizer.get_added_tokens_decoder().values()
+    if tokenizer.normalizer is not None and any(t.normalized for t in added):
+        return None
+    return tuple(t.content.encode() for t in added if t.content)
+
+
 def _odd_space(data: np.ndarray) -> np.ndarray:
     """Marks bytes where white space beyond ASCII (or a separator control) begins."""
     b = np.concatenate((data, np.zeros(2, np.uint8)))
@@ -179,12 +190,13 @@ def _odd_space(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(w: Words) -> np.ndarray:
+def segments(w: Words, added: tuple[bytes, ...] | None = ()) -> np.ndarray:
     """Byte offsets where the texts can be cut without changing any id, edges included.
 
     Byte-level BPE of this kind merges within matches of a pattern that never reach past a
     single white space character between two others, nor from an ASCII letter or digit to
-    punctuation (but for the apostrophe). Texts with other white space are not cut at all.
+    punctuation (but for the apostrophe). Texts with other white space are not cut at all, and none
+    is cut within ``added`` tokens or at their ends, nor at all if those are None.
     """
     data = w.data
     space = _SPACE[data]
@@ -196,6 +208,15 @@ def segments(w: Words) -> np.ndarray:
     odd = _odd_space(data)
     if odd.any():
         cut[:-1][np.repeat(w.sums(odd) > 0, np.diff(w.edges))] = False
+    if added is None:
+        cut[:] = False
+    elif added:
+        raw = data.tobytes()
+        for token in added:
+            at = raw.find(token)
+            while at >= 0:
+                cut[at : at + len(token) + 1] = False
+                at = raw.find(token, at + 1)
     cut[w.edges] = True
     return np.flatnonzero(cut)
 
@@ -203,8 +224,8 @@ def segments(w: Words) -> np.ndarray:
 class Encoder:
     """Ids of texts by the tokenizers library, with the ids of short segments remembered."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, plain: bool = True) -> None:
+        self.path, self.plain = path, plain
         self.forget()
 
     def forget(self) -> None:
@@ -215,7 +236,7 @@ class Encoder:
     def _learn(self, texts: list[str], keys: list[int]) -> None:
         found: list[list[int]] = []
         for at in range(0, len(texts), 4096):
-            found += [e.ids for e in _tokenizer(self.path).encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+            found += [e.ids for e in _tokenizer(self.path, self.plain).encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
         self.known.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys))))
         ends = np.cumsum([len(f) for f in found], dtype=np.int64) + self.starts[-1]
         self.starts = np.concatenate((self.starts, ends))
@@ -223,7 +244,7 @@ class Encoder:
 
     def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the texts, number of ids of each text)."""
-        edges = segments(w)
+        edges = segments(w, () if self.plain else _added(self.path))
         if len(edges) < 2:
             return np.empty(0, np.uint32), np.zeros(w.texts, np.int64)
         if len(self.known) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
@@ -250,8 +271,8 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+def _encoder(path: str, plain: bool) -> Encoder:
+    return Encoder(path, plain)
 
 
 # --- files ------------------------------------------------------------------------------
@@ -259,9 +280,12 @@ def _encoder(path: str) -> Encoder:
 CHUNKS = "shard int, chunk int, path string, offset bigint, bytes bigint, n_docs bigint, n_ids bigint"
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", plain: bool = True) -> DataFrame:
     """Write the ids of every text and return the table of chunks, itself stored.
 
+    ``plain``: strings of special tokens in a text are ordinary text; else they get their own ids,
+    as the library does it by default.
+
     Rows are dealt by ranges of the key, so a shard is a range and shards are in order. One
     task streams its shard: it holds one chunk of ids, whatever the shard's size.
     """
@@ -270,7 +294,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode = _encoder(vocabulary)
+        encode = _encoder(vocabulary, plain)
         uri = fresh_name(folder, ".s8b")
         where, path = opened(uri)
         out, rows, offset = None, [], 0
@@ -349,7 +373,7 @@ def read_token_files(chunks: DataFrame) -> DataFrame:
     return spread.mapInArrow(read, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_index(spark: SparkSession, docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_index(spark: SparkSession, docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", plain: bool = True) -> DataFrame:
     """Write the token files of a table to a fresh shared folder and read them back."""
-    chunks = write_token_files(docs, fresh_folder(spark, "tokens"), vocabulary, key=key, text=text)
+    chunks = write_token_files(docs, fresh_folder(spark, "tokens"), vocabulary, key=key, text=text, plain=plain)
     return read_token_files(chunks).withColumnRenamed("key", key)

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from countcast.llm import sentence_pieces, token_files, warc
+from countcast.llm import queries, sentence_pieces, token_files, warc
 from countcast.llm.files import fresh_folder
 from tests.llm.conftest import prose
 
@@ -58,6 +58,20 @@ def test_token_files_hold_the_library_s_ids(spark, documents, odd, empty):
     assert token_files.token_index(spark, empty, VOCABULARY).count() == 0
 
 
+def test_op3_gives_special_tokens_their_ids_as_the_library_does(spark, documents, tmp_path):
+    special = ["end of it<|endoftext|> next", "a<|endoftext|>b", "<|endoftext|>", "x.<|endoftext|><|endoftext|>  y\n <|endoftext|> z", "<|endof text|> <|endoftext", "no|> <|<|endoftext|>|>"]
+    added = spark.createDataFrame([(100_000 + k, t) for k, t in enumerate(special)], "doc_id bigint, text string")
+    documents.select("doc_id", "text").limit(40).unionByName(added).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    at, want = 0, []
+    for r in sorted(spark.read.parquet(f"{tmp_path}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want.append((r.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert tokenizer.encode(special[0], add_special_tokens=False).ids == [437, 286, 340, 50256, 1306]
+    assert sorted(tuple(r) for r in queries.op3_token_files(spark, str(tmp_path)).collect()) == want
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return sentence_pieces.Pieces.load(MODEL)
