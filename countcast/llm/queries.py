@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from countcast.llm import decontaminate, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sentence_pieces, substring_dedup, token_files, warc
+from countcast.llm import decontaminate, jaccard_join, language_id, license_scan, periodic_runs, quality_classifier, quality_rules, secret_scan, sentence_pieces, substring_dedup, token_files, va_file, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.summaries(_table(spark, sf_dir, "documents"), edit=periodic_runs.with_planted_run)
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.summary(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 
 #: Words as the operators see them.
@@ -78,6 +93,21 @@ def _letters(pattern: str) -> str:
     return f"length(regexp_replace(coalesce(text, ''), '[^{pattern}]', '', 'g'))"
 
 
+def _rounds(n: int) -> str:
+    """``n`` rounds of assigning vectors (v0) to centroids (c0) and moving these."""
+    assign = """a{i} as materialized (
+  select r, c, dist from (
+    select r, c, list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as dist
+    from v0, c{i}) qualify row_number() over (partition by r order by dist, c) = 1)"""
+    move = """c{j} as materialized (
+  select c, coalesce(m, w) as w from c{i} left join (
+    select c, list((s - ((s % n) + n) % n) // n order by d) as m from (
+      select c, d, sum(x)::bigint as s, count(*)::bigint as n from (
+        select c, unnest(v) as x, unnest(range(64)) as d from a{i} join v0 using (r)) group by c, d) group by c) using (c))"""
+    steps = [s.format(i=i, j=i + 1) for i in range(n) for s in (assign, move)]
+    return ",\n".join([*steps, assign.format(i=n)])
+
+
 SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text, {_WORDS} as w from documents),
@@ -131,4 +161,44 @@ select page_id, strlen(body)::bigint as payload_bytes,
   case when k = 1 then 'response' else 'revisit' end as record_type,
   case when k > 1 then best end as refers_to
 from h""",
+    "op12_periodic_runs": r"""
+with codes as (
+  select doc_id, h from (
+    select doc_id, 4294967295 - list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::varchar, ''),
+      lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as h
+    from documents) group by all),
+given as (
+  select row_number() over () as r, doc_id, h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents left join codes using (doc_id)),
+sizes as (select *, len(w) as n, (h // 10) % len(w) as a, (h // 10) % 8 as g, coalesce(h % 10 = 0, false) and len(w) > 0 as planted from given),
+texts as materialized (
+  select r, doc_id, n, case when planted then list_transform(range(n), lambda i: case when i < a then w[i + 1]
+    else w[(a + (i - a) % (1 + (n - a) // (3 + g)) + 1)::bigint] end) else w end as w from sizes),
+words as materialized (select r, n, unnest(w) as x, unnest(range(n)) as i from texts),
+agree as (
+  select a.r, a.i, b.i - a.i as p, a.i - row_number() over (partition by a.r, b.i - a.i order by a.i) as island
+  from words a join words b on a.r = b.r and a.x = b.x and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+stretches as (select r, p, min(i) as start, count(*) + p as length from agree group by r, p, island having count(*) + p >= greatest(6, 4 * p)),
+runs as materialized (select r, start::bigint as start, length::bigint as length, min(p)::bigint as period from stretches group by r, start, length),
+listed as (select r, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as runs from runs group by r),
+best as (
+  select r, start, length, period from runs
+  qualify row_number() over (partition by r order by length::decimal(38, 18) / period desc, start, period) = 1),
+dropped as (select distinct r, unnest(range(start + period, start + length)) as i from runs),
+kept as (select r, string_agg(x, ' ' order by i) as words from words anti join dropped using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, start, length, period, (1000 * length // period)::bigint as exponent_milli,
+  sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(words, '')) as collapsed_sha256
+from texts left join listed using (r) left join best using (r) left join kept using (r)""",
+    "op13_centroid_clusters": f"""
+with v0 as materialized (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as materialized (
+  select row_number() over (order by h, v) - 1 as c, v as w from (
+    select sha256('2:' || coalesce(vec_id::varchar, '')) as h, v from v0 order by h, v limit 40)),
+{_rounds(5)}
+select vec_id, c::int as cluster, dist as distance, (sum(dist) over (partition by c))::bigint as cluster_inertia,
+  (sum(dist) over ())::bigint as inertia, sha256(list_aggregate(w, 'string_agg', ',')) as centroid_sha256
+from a5 join c5 using (c) join v0 using (r)""",
 }
