@@ -14,10 +14,10 @@ by a hash of the text so that neither layout nor order matters; shares of langua
 labelled texts, and every text is scored whole. The driver and each task hold one
 probability for each piece and language; nothing there grows with the number of texts.
 
-Words are runs of bytes other than ASCII white space; those without a letter say nothing about
-a language and are passed over. Words are scored once for each of their appearances but computed
-once for many: a task remembers words (KNOWN at most, then it starts anew), and works on all new
-words of a megabyte of text together.
+Words are runs of bytes other than ASCII white space, without the ASCII digits and punctuation
+at their ends; those without a letter say nothing about a language and are passed over. A word
+counts each time it appears, but is computed once for many: a Python worker remembers words
+(KNOWN at most, then it starts anew), and works on all new words of a megabyte of text together.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a word of any
 length is scored whole; of languages with equal scores the first by name wins; repeated rows
@@ -27,10 +27,13 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -53,7 +56,7 @@ ROUNDS = 3
 #: Expected pieces that every language borrows from all languages together.
 BORROWED = 2000.0
 #: Words a task remembers; longer words than SHORT bytes are never remembered.
-KNOWN, SHORT = 300_000, 64
+KNOWN, SHORT = 500_000, 64
 #: Characters, times languages, whose forward sums are held at once.
 AT_ONCE = 1 << 22
 UNDETERMINED = "und"
@@ -65,13 +68,15 @@ class Lattice:
     def __init__(self, pieces: list[str]) -> None:
         self.size = len(pieces)
         self.bytes_at = np.zeros(256, np.int64)
+        self.lengths = np.zeros(len(pieces), np.int64)
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()
         for i, piece in enumerate(pieces):
             if m := _BYTE.fullmatch(piece):
                 self.bytes_at[int(m[1], 16)] = i
             elif piece and piece not in ("<unk>", "<s>", "</s>", "<pad>"):
-                self.automaton.add_word(piece, (i, len(piece)))
+                self.automaton.add_word(piece, i)
+                self.lengths[i] = len(piece)
                 if len(piece) == 1:
                     self.single.add(piece)
         self.automaton.make_automaton()
@@ -93,9 +98,9 @@ class Lattice:
         whole = "\n".join(MARK + w for w in words) + "\n"
         lengths = np.array([len(w) + 2 for w in words], np.int64)
         offsets = np.concatenate(([0], np.cumsum(lengths)))
-        found = [(end, i, n) for end, (i, n) in self.automaton.iter(whole)]
-        table = np.array(found, np.int64).reshape(-1, 3)
-        source, target, piece = table[:, 0] + 1 - table[:, 2], table[:, 0] + 1, table[:, 1]
+        table = np.fromiter(chain.from_iterable(self.automaton.iter(whole)), np.int64).reshape(-1, 2)
+        target, piece = table[:, 0] + 1, table[:, 1]
+        source = target - self.lengths[piece]
         lone = [(at, c) for c in set(whole) - self.single - {"\n"} for at in _places(whole, c)]
         spelled = np.full((len(lone), 4), -1, np.int64)
         for row, (_, c) in enumerate(lone):
@@ -168,7 +173,7 @@ def forward(lat: Lattice, logs: np.ndarray, words: list[str]) -> np.ndarray:
 def _long_word(lat: Lattice, logs: np.ndarray, word: str, part: int = 1 << 14) -> np.ndarray:
     """As ``forward``, for a word longer than the sums that may be held: only the last
     places are kept, as many as the longest piece has characters."""
-    reach = 1 + max(len(p) for p in lat.automaton.keys())
+    reach = 1 + int(lat.lengths.max())
     total = np.zeros((1, logs.shape[1]))  # sums at the places before ``at``, the last one at it
     text, at = MARK + word, 0
     while at < len(text):
@@ -257,6 +262,13 @@ def fit(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: int
     return LanguageModel(names, shares, logs)
 
 
+_ENDS = (string.digits + string.punctuation).encode()
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return [w.strip(_ENDS) for w in text.split()]
+
+
 def _has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
@@ -267,7 +279,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w in text_slices(batch, "text"):
             seen: dict[tuple[int, bytes], int] = {}
             for language, a, b in zip(part.column("language").to_pylist(), w.edges, w.edges[1:]):
-                for word in w.data[a:b].tobytes().split():
+                for word in words_of(w.data[a:b].tobytes()):
                     seen[language, word] = seen.get((language, word), 0) + 1
             rows = [(language, s, n) for (language, word), n in seen.items() if _has_letter(s := word.decode())]
             columns = zip(*rows) if rows else ((), (), ())
@@ -300,7 +312,13 @@ class _Scorer:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.rows = np.zeros((1, self.logs.shape[1]))
+        self.rows, self.used = np.zeros((1024, self.logs.shape[1])), 1
+
+    def _add(self, new: np.ndarray) -> None:
+        while self.used + len(new) > len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        self.rows[self.used : self.used + len(new)] = new
+        self.used += len(new)
 
     def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Rows of the texts' words."""
@@ -311,9 +329,9 @@ class _Scorer:
         decoded = [w.decode() for w in new]
         lettered = [k for k, w in enumerate(decoded) if _has_letter(w)]
         known.update(dict.fromkeys(new, 0))
-        known.update((new[k], len(self.rows) + i) for i, k in enumerate(lettered))
+        known.update((new[k], self.used + i) for i, k in enumerate(lettered))
         if lettered:
-            self.rows = np.concatenate((self.rows, forward(self.lat, self.logs, [decoded[k] for k in lettered])))
+            self._add(forward(self.lat, self.logs, [decoded[k] for k in lettered]))
         out = [np.fromiter(map(known.__getitem__, words), np.int64, len(words)) for words in texts]
         for w in new:
             if len(w) > SHORT:
@@ -321,17 +339,30 @@ class _Scorer:
         return out
 
 
+#: The scorer of the model that this Python worker used last, by the model's digest.
+_last: dict[str, _Scorer] = {}
+
+
+def _scorer(digest: str, vocabulary: str, logs: np.ndarray) -> _Scorer:
+    if digest not in _last:
+        _last.clear()
+        _last[digest] = _Scorer(lattice(vocabulary), logs)
+    return _last[digest]
+
+
 def predict(docs: DataFrame, model: LanguageModel, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) of every text; the score is the language's posterior probability."""
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
+    digest = hashlib.sha256(model.logs.tobytes() + vocabulary.encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(lattice(vocabulary), model.logs) if model.languages else None
+        scorer = _scorer(digest, vocabulary, model.logs) if model.languages else None
         for batch in batches:
             for part, w in text_slices(batch, "text"):
                 names, scores = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
                 if scorer:
-                    rows = scorer.look_up([w.data[a:b].tobytes().split() for a, b in zip(w.edges, w.edges[1:])])
+                    rows = scorer.look_up([words_of(w.data[a:b].tobytes()) for a, b in zip(w.edges, w.edges[1:])])
                     for k, words in enumerate(rows):
                         if words.any():
                             total = scorer.rows[words].sum(axis=0) + model.shares
