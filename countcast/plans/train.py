@@ -24,6 +24,7 @@ from countcast.operators.features import (
 )
 from countcast.operators.metrics import regression_metrics, with_best
 from countcast.operators.split import split, with_fold
+from countcast.plans import elastic_net
 from countcast.plans.score import apply_models, stack_predictions
 from countcast.spec import CountSpec
 from countcast.workspace import stored
@@ -48,8 +49,9 @@ SMALL_GRIDS = {
     FOREST: {"numTrees": [10], "maxDepth": [3, 6]},
     BOOSTED: {"maxIter": [8], "maxDepth": [3], "stepSize": [0.1, 0.3]},
 }
-# Fewer rows than this are not worth a task of their own in a pass of fitting.
-ROWS_PER_TASK = 10_000
+# Fewer rows than this are not worth a task of their own in a pass of fitting; tables of more
+# than MANY_TASKS such tasks have tasks of up to LARGE_TASK rows.
+ROWS_PER_TASK, MANY_TASKS, LARGE_TASK = 10_000, 200, 1_000_000
 # Megabytes of statistics a task may hold while growing trees. More means more tree nodes
 # per pass over the data and so fewer passes; the trees are the same.
 NODE_MEMORY = 1024
@@ -154,7 +156,8 @@ def fit_candidates(
 
     Category labels are learned once per set of dimensions, and candidates wanting the
     same features share one in-memory copy for all their settings and folds; labels carry
-    no target information. ``refit_features`` tunes each whole chain per fold instead.
+    no target information. Errors of linear settings come from one pass of sums
+    (``elastic_net``). ``refit_features`` tunes each whole chain per fold instead.
     Returns fitted chains (raw columns to prediction) with their settings' fold errors.
     """
     if refit_features:
@@ -173,18 +176,29 @@ def fit_candidates(
         shared.setdefault((c.scope or spec, c.kind), []).append(c)
     for (scope, kind), group in shared.items():
         features = fit_features(train_rows, scope, kind, indexers[scope])
-        ready = features.transform(train_rows).select("features", "label", "fold")
+        indexed = features.transform(train_rows)
+        ready = indexed.select("features", "label", "fold")
         ready.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for c in group:
                 estimator = with_bins(c.estimator, largest_arity(features) + 1)
-                regressor, errors = tune(estimator, c.grid, ready, folds, parallelism)
+                columns = elastic_net.width(indexers[scope], scope)
+                if len(c.grid) > 1 and elastic_net.tunable(estimator, c.grid, columns):
+                    errors = elastic_net.tune_errors(indexed, indexers[scope], scope, estimator, c.grid)
+                    regressor = estimator.fit(ready, c.grid[best_setting(errors)])
+                else:
+                    regressor, errors = tune(estimator, c.grid, ready, folds, parallelism)
                 fitted[c.name] = PipelineModel(stages=[*features.stages, regressor]), errors
         finally:
             ready.unpersist()
     return {c.name: fitted[c.name] for c in models}
 
 
+def best_setting(errors: Sequence[float]) -> int:
+    """The first setting of least error; one that could not be measured counts as worst."""
+    return min(range(len(errors)), key=lambda i: errors[i] if errors[i] == errors[i] else float("inf"))
+
+
 def with_bins(estimator: Estimator, needed: int) -> Estimator:
     """A tree needs a bin per label and one for the unseen bucket."""
     if not estimator.hasParam("maxBins") or estimator.getOrDefault("maxBins") >= needed:
@@ -200,17 +214,20 @@ def prepare(facts: DataFrame, spec: CountSpec, keys: Sequence[str], folds: int)
     return with_fold(rows, keys, folds)
 
 
-def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Enough partitions for fitting, which costs far more per row than reading.
+def partitions_for(rows: int) -> int:
+    """Partitions of a training table: a matter of its size alone, never of cores or layout."""
+    return max(1, min(-(-rows // ROWS_PER_TASK), max(MANY_TASKS, -(-rows // LARGE_TASK))))
+
+
+def laid_out(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows in an order of their own: partitions by the keys' hash, sorted within.
 
-    Stored tables of moderate size come in few files; without this, a few tasks would do
-    all passes. Larger tables are already in more pieces and stay as they are.
+    Bootstrap and subsample weights of trees are drawn partition by partition and row by row,
+    so equal tables must stand in equal order for equal trees, however they were stored, read
+    or repartitioned before. Rows with equal keys are ordered by their other columns.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    wanted = min(cores, rows.count() // ROWS_PER_TASK)
-    if wanted <= rows.rdd.getNumPartitions():
-        return rows
-    return rows.repartition(wanted, *keys)
+    others = [c for c in rows.columns if c not in keys]
+    return rows.repartition(partitions_for(rows.count()), *keys).sortWithinPartitions(*keys, *others)
 
 
 def train(
@@ -233,7 +250,7 @@ def train(
     keys = list(keys or spec.dims)
     labelled = stored(prepare(facts, spec, keys, folds), "training")
     train_rows, test_rows = split(labelled, keys, train_percent)
-    train_rows = spread(train_rows, keys)
+    train_rows = laid_out(train_rows, keys)
     fitted = fit_candidates(train_rows, spec, models, folds, parallelism, refit_features)
     chains = {name: chain for name, (chain, _) in fitted.items()}
     tuning = [

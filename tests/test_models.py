@@ -221,12 +221,28 @@ def test_training_drops_unusable_rows_and_accepts_zero_counts(facts, spec):
     assert ready.filter("headcount = 0").first().label == 0.0
 
 
-def test_training_rows_are_spread_over_the_cores(spark):
-    few = spark.range(80_000).coalesce(1)
-    assert train.spread(few, ["id"]).rdd.getNumPartitions() == 8
-    assert train.spread(few.limit(9_000), ["id"]).rdd.getNumPartitions() == 1
-    many = spark.range(80_000, numPartitions=20)
-    assert train.spread(many, ["id"]).rdd.getNumPartitions() == 20
+def test_layout_depends_on_size_alone(spark):
+    assert [train.partitions_for(n) for n in (0, 1, 10_000, 10_001, 2_000_000, 150_000_000, 300_000_000)] == [1, 1, 1, 2, 200, 200, 300]
+    table = spark.range(30_000).select("id", (F.col("id") % 7).alias("v"))
+    pieces = [train.laid_out(t, ["id"]).rdd.glom().collect() for t in (table, table.coalesce(1).orderBy(F.desc("v")), table.repartition(23))]
+    assert len(pieces[0]) == 3 and pieces[0] == pieces[1] == pieces[2]
+    ties = spark.createDataFrame([(1, 2.0), (1, 1.0), (1, 3.0)], "k int, v double")
+    assert [r.v for r in train.laid_out(ties.repartition(3), ["k"]).collect()] == [1.0, 2.0, 3.0]
+
+
+def test_trees_do_not_depend_on_the_layout_of_the_facts(spark, monkeypatch):
+    monkeypatch.setattr(train, "ROWS_PER_TASK", 300)
+    facts = cells(spark, SMALL)
+    models = []
+    for c in train.candidates("small")[1:]:
+        settings = {"numTrees": [12], "maxDepth": [5]} if c.name == train.FOREST else {"maxIter": [5], "maxDepth": [4]}
+        c.grid = train.param_grid(c.estimator, settings)
+        models.append(c)
+    grown = []
+    for layout in (facts, facts.repartition(13), facts.coalesce(1).orderBy("campus", F.desc("fiscal_year"))):
+        run = train.train(layout, WEIGHTED, models)
+        grown.append([run.models[c.name].stages[-1].toDebugString.split("\n", 1)[1] for c in models])
+    assert grown[0] == grown[1] == grown[2] and "Tree 11" in grown[0][0]
 
 
 def test_single_valued_dimension_trains(spark):
