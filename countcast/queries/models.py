@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from countcast import functions
 from countcast.operators import features, metrics
+from countcast.operators.category_index import category_index as category_index_table
+from countcast.operators.category_index import label_counts, with_category_index, with_vectors
 from countcast.operators.split import fold_sizes, in_training
 from countcast.plans import train
 from countcast.plans.score import apply_models, stack_predictions
@@ -184,6 +186,29 @@ def category_index(spark, path):
     return features.label_table(facts, features.fit_features(facts, HEADCOUNT, "tree"))
 
 
+@query(
+    "M1_category_index_joined",
+    "select dimension, value, index from indexed",
+    ctes=_INDEX.format(rows=unpivot_sql("headcount", HEADCOUNT.dims)),
+)
+def category_index_joined(spark, path):
+    """The same numbers from a distributed rank: no label on the driver."""
+    return category_index_table(headcount(spark, path), HEADCOUNT)
+
+
+@query(
+    "M1_index_of_every_order_key",
+    """select l_orderkey, cast(dense_rank() over (order by n desc, cast(l_orderkey as varchar)) - 1 as double) as orderkey_idx, count(*) as lines
+from (select l_orderkey, count(*) over (partition by l_orderkey) as n from lineitem) group by l_orderkey, n""",
+)
+def index_of_every_order(spark, path):
+    """A dimension with as many labels as there are orders, joined to its lines."""
+    lines = spark.read.parquet(f"{path}/lineitem.parquet").select(F.col("l_orderkey").cast("string").alias("orderkey"), "l_orderkey")
+    spec = CountSpec(("orderkey",), "n", None)
+    indexed = with_category_index(lines, spec, category_index_table(lines, spec))
+    return indexed.groupBy("l_orderkey", "orderkey_idx").agg(F.count("*").alias("lines"))
+
+
 def _offset(i: int) -> str:
     before = ", ".join(f"'{d}'" for d in CELLS.dims[:i])
     return f"(select count(*) from indexed where dimension in ({before}))" if i else "0"
@@ -218,19 +243,37 @@ def linear_vector(spark, path):
     return features.vector_slots(_vectors(spark, path, "linear"), list(CELLS.dims), nonzero_only=True)
 
 
-@query(
-    "M4_tree_vector",
+_M4 = (
     " union all ".join(
         f"select {_CELL_DIMS}, {i} as slot, index as weight from cells join indexed on dimension = '{d}' and value = {d}"
         for i, d in enumerate(CELLS.dims)
     )
-    + f" union all {_YEAR_SLOT.format(slot=len(CELLS.dims))}",
-    ctes=_CELL_INDEX,
+    + f" union all {_YEAR_SLOT.format(slot=len(CELLS.dims))}"
 )
+
+
+@query("M4_tree_vector", _M4, ctes=_CELL_INDEX)
 def tree_vector(spark, path):
     return features.vector_slots(_vectors(spark, path, "tree"), list(CELLS.dims))
 
 
+def _joined_vectors(spark, path, kind):
+    facts = features.with_year(cells(spark, path), CELLS)
+    index = category_index_table(facts, CELLS)
+    counts = label_counts(index, CELLS)
+    return with_vectors(with_category_index(facts, CELLS, index, counts), CELLS, kind, counts)
+
+
+@query("M3_linear_vector_joined", _M3, ctes=_CELL_INDEX)
+def linear_vector_joined(spark, path):
+    return features.vector_slots(_joined_vectors(spark, path, "linear"), list(CELLS.dims), nonzero_only=True)
+
+
+@query("M4_tree_vector_joined", _M4, ctes=_CELL_INDEX)
+def tree_vector_joined(spark, path):
+    return features.vector_slots(_joined_vectors(spark, path, "tree"), list(CELLS.dims))
+
+
 @query(
     "M5_vector_widths",
     f"""select 'linear' as kind, count(*) + 1 as width, (select count(*) from cells) as vectors from indexed

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from countcast.functions import storage_name
 from countcast.operators import options, profile
 from countcast.queries.catalogue import query, round6, unpivot_sql
-from countcast.sources.facts import read_facts, read_requests, request_table, write_facts
+from countcast.operators.numbering import numbered_as_stored
+from countcast.sources.facts import read_facts, read_requests, read_unnumbered_requests, request_table, write_facts
 from countcast.sources.star import headcount, order_lines, table
 from countcast.spec import CELLS, HEADCOUNT
 from countcast.workspace import scratch_path
@@ -43,7 +44,7 @@ def parquet_facts(spark, path):
     return facts.filter(F.col("fiscal_year").isin("1996/97", "1998/99"))
 
 
-REQUEST_ID_SQL = "cast(concat('0x', substr(md5(concat_ws('|', {keys})), 1, 15)) as bigint) as request_id"
+REQUEST_ID_SQL = "row_number() over (order by {keys}) - 1 as request_id"
 
 
 @query("S2_requests_from_files", f"select {REQUEST_ID_SQL.format(keys=_DIMS)}, {_DIMS} from headcount")
@@ -53,6 +54,25 @@ def requests_from_files(spark, path):
     return read_requests(spark, target, HEADCOUNT)
 
 
+@query("S2_requests_without_numbers", f"select {REQUEST_ID_SQL.format(keys=_DIMS)}, {_DIMS} from headcount")
+def requests_without_numbers(spark, path):
+    """Lines of several text files, numbered by their places."""
+    target = scratch_path(spark, "requests")
+    in_order = request_table(headcount(spark, path), HEADCOUNT, distinct=False).repartitionByRange(5, "request_id")
+    in_order.sortWithinPartitions("request_id").drop("request_id").write.json(target)
+    return read_unnumbered_requests(spark, target, HEADCOUNT)
+
+
+@query("S2_stored_rows_numbered", "select count(*) as rows, count(distinct o_orderkey) as orders, count(*) - 1 as last, (count(*) * (count(*) - 1) // 2)::bigint as sum from orders")
+def stored_rows_numbered(spark, path):
+    """Rows of a stored table, numbered without a shuffle: every number once."""
+    orders = numbered_as_stored(spark.read.parquet(f"{path}/orders.parquet").select("o_orderkey"), "number")
+    return orders.agg(
+        F.countDistinct("number").alias("rows"), F.countDistinct("o_orderkey").alias("orders"),
+        F.max("number").alias("last"), F.sum("number").alias("sum"),
+    )
+
+
 @query(
     "S4_model_folder_names",
     """select p_partkey, replace(replace(lower(concat(p_name, '-', p_type)), ' ', '_'), '-', '_') as folder

@@ -32,8 +32,15 @@ requests as (select {REQUEST_ID_SQL.format(keys=_DIMS)}, {_DIMS} from headcount)
 replies as ({predictions_sql("requests", f"request_id, {_DIMS}")})"""
 
 
+_request_tables = {}
+
+
 def _requests(spark, path):
-    return request_table(headcount(spark, path), HEADCOUNT, distinct=False)
+    """One numbered request table per session and data folder, shared by the queries that score."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _request_tables:
+        _request_tables[key] = request_table(headcount(spark, path), HEADCOUNT, distinct=False)
+    return _request_tables[key]
 
 
 def _best(run):
@@ -131,8 +138,8 @@ def stacked_predictions(spark, path):
 
 # Requests with faults: no campus for year 1997/98, malformed years for attendance P.
 _FAULTY = f"""requests as (
-  select {REQUEST_ID_SQL.format(keys=_DIMS)}, {_DIMS.replace("campus", "nullif(campus, case when fiscal_year = '1997/98' then campus end) as campus").replace("fiscal_year,", "case when attendance = 'P' then concat('FY', fiscal_year) else fiscal_year end as fiscal_year,", 1)}
-  from headcount)"""
+  select request_id, {_DIMS.replace("campus", "nullif(campus, case when fiscal_year = '1997/98' then campus end) as campus").replace("fiscal_year,", "case when attendance = 'P' then concat('FY', fiscal_year) else fiscal_year end as fiscal_year,", 1)}
+  from (select {REQUEST_ID_SQL.format(keys=_DIMS)}, * from headcount))"""
 
 
 def _faulty(spark, path):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countcast.operators.numbering import numbered, numbered_as_stored, numbered_in_files
 from countcast.spec import CountSpec
 
 FORMATS = ("parquet", "csv", "json", "orc")
@@ -87,15 +88,26 @@ def read_requests(spark: SparkSession, path: str, spec: CountSpec, format: str =
     return reader.load(path)
 
 
+def read_unnumbered_requests(spark: SparkSession, path: str, spec: CountSpec, format: str = "json") -> DataFrame:
+    """A request table from files without numbers: ``request_id`` is the place in the files,
+    by file name and then by line or row, 0 to n - 1."""
+    columns = [f for f in spec.request_schema().fields if f.name != "request_id"]
+    reader = spark.read.format(format).schema(T.StructType([T.StructField(f.name, f.dataType) for f in columns]))
+    if format == "csv":
+        reader = reader.option("header", True)
+    scan = reader.load(path)
+    numbered_rows = numbered_as_stored(scan, "request_id") if format == "parquet" else numbered_in_files(scan, "request_id")
+    return numbered_rows.select("request_id", *spec.dims)
+
+
 def request_table(facts: DataFrame, spec: CountSpec, distinct: bool = True) -> DataFrame:
-    """One request per dimension combination, numbered by a hash of its key.
+    """One request per dimension combination, numbered 0 to n - 1 in the order of the dimensions.
 
-    Hashing needs neither a global sort nor a single-partition row number. A table whose
-    combinations are known to be unique, such as a fact table, needs no ``distinct``.
+    Numbers come from a distributed sort and counts by partition: none is missing, none
+    occurs twice, whatever the size. A table whose combinations are known to be unique, such as
+    a fact table, needs no ``distinct``.
     """
-    key = F.md5(F.concat_ws("|", *(F.col(d) for d in spec.dims)))
-    number = F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
     combinations = facts.select(*spec.dims)
     if distinct:
         combinations = combinations.distinct()
-    return combinations.select(number.alias("request_id"), *spec.dims)
+    return numbered(combinations, spec.dims, "request_id").select("request_id", *spec.dims)
