@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from countcast.functions import mean_of_cents, to_cents
 from countcast.operators.grid import scenario_grid
+from countcast.operators.option_tables import RankedOptions
 from countcast.operators.rollup import rollup_dimensions
 from countcast.plans.score import apply_models
 from countcast.spec import MAX_COMBINATIONS, SUMMARY_DIMS, CountSpec
@@ -84,10 +86,8 @@ def check_values(lists: Mapping[str, Sequence[str]], spec: CountSpec) -> None:
         if any(v is None for v in values):
             raise ValueError(f"missing value for {dim}")
     for year in lists.get(spec.year_dim, ()) if spec.year_dim else ():
-        try:
-            float(year[:4])
-        except ValueError:
-            raise ValueError(f"malformed year {year!r}") from None
+        if not re.match("[0-9]{4}", year):  # what `numeric_year` reads
+            raise ValueError(f"malformed year {year!r}")
 
 
 def what_if(
@@ -105,6 +105,20 @@ def what_if(
     of a few rows per task; the grid itself is never stored.
     """
     check_values(lists, spec)
-    scored, columns = apply_models(scenario_grid(spark, lists, limit), spec, models)
+    return _report(scenario_grid(spark, lists, limit), spec, models, best)
+
+
+def what_if_tables(
+    ranked: RankedOptions, models: Mapping[str, PipelineModel], best: str, limit: int | None = MAX_COMBINATIONS
+) -> DataFrame:
+    """As ``what_if``, for selections kept as tables: no option is in the plan or on the driver."""
+    fault = ranked.faulty().first()
+    if fault:
+        raise ValueError(fault["reason"])
+    return _report(ranked.grid(limit), ranked.spec, models, best)
+
+
+def _report(grid: DataFrame, spec: CountSpec, models: Mapping[str, PipelineModel], best: str) -> DataFrame:
+    scored, columns = apply_models(grid, spec, models)
     means = mean_by_dimensions(scored, spec, predictions=columns, grand_total=True)
     return means.filter((F.col("model") == best) | F.col("dimension").isNull())

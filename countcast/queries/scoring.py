@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from countcast.functions import count_prediction, two_decimals
-from countcast.operators import grid, options
+from countcast.operators import grid, option_tables, options
 from countcast.plans import score, train, whatif
 from countcast.queries.catalogue import query, round6, unpivot_sql
 from countcast.queries.models import (
@@ -18,7 +18,7 @@ from countcast.queries.models import (
 from countcast.queries.profiles import REQUEST_ID_SQL
 from countcast.sources.facts import request_table
 from countcast.sources.star import headcount, order_lines, table
-from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS
+from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS, CountSpec
 from countcast.streaming import answer_stream, request_stream, score_stream, start_scoring
 from countcast.workspace import scratch_path
 
@@ -383,14 +383,15 @@ def model_comparison(spark, path):
     return whatif.mean_by(stacked, "model").withColumnRenamed("name", "model")
 
 
-@query(
-    "W4_what_if_report",
-    f"""select model, dimension, value, {_MEAN} as headcount from ("""
+_W4 = (
+    f"select model, dimension, value, {_MEAN} as headcount from ("
     + unpivot_sql("replies", [d for d in SUMMARY_DIMS if d in CELLS.dims], "model, cents")
     + f""") where model = {_BEST_MODEL} group by all
-union all select model, null, null, {_MEAN} from replies group by model""",
-    ctes=_GRID,
+union all select model, null, null, {_MEAN} from replies group by model"""
 )
+
+
+@query("W4_what_if_report", _W4, ctes=_GRID)
 def what_if_report(spark, path):
     run = closed_form_run(spark, path)
     return whatif.what_if(spark, _lists(spark, path), CELLS, run.models, run.best)
@@ -400,3 +401,57 @@ def what_if_report(spark, path):
 def tuned_what_if_report(spark, path):
     run = tuned_run(spark, path)
     return whatif.what_if(spark, _lists(spark, path, CELLS, {}), CELLS, run.models, run.best)
+
+
+# Selections kept as tables --------------------------------------------------------------
+
+
+def _ranked(spark, path, spec=CELLS, scenario=SCENARIO):
+    rows = [(d, v, i) for d, values in scenario.items() for i, v in enumerate(values)]
+    chosen = spark.createDataFrame(rows, option_tables.SELECTION)
+    cleared = [d for d, values in scenario.items() if not values]
+    catalogue = options.option_catalogue(order_lines(spark, path), spec)
+    return option_tables.RankedOptions(option_tables.resolved(catalogue, spec, chosen, cleared), spec)
+
+
+@query("J1_grid_from_option_tables", f"select request_id, {_CELL_DIMS} from grid", ctes=_SCENARIO)
+def grid_from_option_tables(spark, path):
+    """Digits of request numbers joined with ranked options."""
+    return _ranked(spark, path).grid()
+
+
+@query(
+    "J1_grid_of_many_options",
+    """select count(*) as rows, count(distinct request_id) as ids, max(request_id) as last_id, count(distinct orderkey) as orders,
+  sum(cast(orderkey as bigint)) as keys from (
+  select row_number() over () - 1 as request_id, orderkey from (select distinct cast(o_orderkey as varchar) as orderkey from orders),
+    (select distinct o_orderstatus from orders), (select distinct o_orderpriority from orders))""",
+)
+def grid_of_many_options(spark, path):
+    """A dimension with an option for every order, next to two short ones."""
+    spec = CountSpec(("status", "orderkey", "priority"), year_dim=None)
+    orders = table(spark, path, "orders").select(
+        F.col("o_orderstatus").alias("status"), F.col("o_orderkey").cast("string").alias("orderkey"), F.col("o_orderpriority").alias("priority")
+    )
+    ranked = option_tables.RankedOptions(options.option_catalogue(orders, spec), spec)
+    return ranked.grid(limit=None).agg(
+        F.count("*").alias("rows"), F.countDistinct("request_id").alias("ids"), F.max("request_id").alias("last_id"),
+        F.countDistinct("orderkey").alias("orders"), F.sum(F.col("orderkey").cast("bigint")).alias("keys"),
+    )
+
+
+@query(
+    "J2_F7_size_from_counts",
+    f"""select cast(cast(product(n) as bigint) as varchar) as combinations, round(sum(log10(n)), 9) as log10_combinations, product(n) > 100000 as refused from (
+  select dimension, count(distinct value) as n from ({unpivot_sql('headcount', HEADCOUNT.dims)}) group by 1)""",
+)
+def size_from_counts(spark, path):
+    """The size of the twelve-dimension grid: a product and a sum of logarithms of counts."""
+    size = _ranked(spark, path, HEADCOUNT, {}).size()
+    return size.withColumn("log10_combinations", F.round("log10_combinations", 9))
+
+
+@query("W4_report_from_option_tables", _W4, ctes=_GRID)
+def report_from_option_tables(spark, path):
+    run = closed_form_run(spark, path)
+    return whatif.what_if_tables(_ranked(spark, path), run.models, run.best)
