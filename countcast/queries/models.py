@@ -17,6 +17,7 @@ from countcast.operators.category_index import category_index as category_index_
 from countcast.operators.category_index import label_counts, with_category_index, with_vectors
 from countcast.operators.split import fold_sizes, in_training
 from countcast.plans import train
+from countcast.plans.importance import permutation_importance
 from countcast.plans.score import apply_models, stack_predictions
 from countcast.queries.catalogue import query, round6, unpivot_sql
 from countcast.sources import registry
@@ -442,6 +443,48 @@ def best_model(spark, path):
     return metrics.best_model(closed_form_run(spark, path).metrics)
 
 
+# Permutation importance -----------------------------------------------------------------
+
+_PERMUTED = f"""{TRAINED},
+test as (select *, row_number() over (order by {_CELL_DIMS}) as nth from labelled where not in_train),
+dealt as ({" union all ".join(
+    f"select '{d}' as feature, {d} as permuted, row_number() over (order by md5(concat_ws(chr(31), '42', '{d}', {_CELL_DIMS})), {_CELL_DIMS}) as nth from test"
+    for d in CELLS.dims)}),
+variants as (
+  select cast(null as varchar) as feature, {_CELL_DIMS}, original_label from test
+  union all select feature, {", ".join(f"case when feature = '{d}' then permuted else {d} end as {d}" for d in CELLS.dims)}, original_label
+  from test join dealt using (nth)),
+errors as (
+  select model, feature, sqrt(avg((original_label - final_prediction) ** 2)) as rmse
+  from ({predictions_sql("variants", "feature, original_label")}) group by model, feature),
+importances as (
+  select e.model, e.feature, round(e.rmse, 6) as rmse, round(e.rmse - w.rmse, 6) + 0.0 as importance
+  from errors e join errors w on e.model = w.model and w.feature is null where e.feature is not null)"""
+
+
+def _permutation_importance(spark, path):
+    run = closed_form_run(spark, path)
+    found = permutation_importance(run.test, CELLS, run.models)
+    return found.select("model", "feature", F.round("rmse", 6).alias("rmse"), (F.round("importance", 6) + F.lit(0.0)).alias("importance"))
+
+
+@query("L12_permutation_importance", "select * from importances", ctes=_PERMUTED)
+def importance_of_features(spark, path):
+    """Errors of the closed-form models with each dimension permuted."""
+    return _permutation_importance(spark, path)
+
+
+@query(
+    "K3_permutation_importance_ascending",
+    "select model, feature, cast(row_number() over (partition by model order by importance, feature) as integer) as place from importances",
+    ctes=_PERMUTED,
+)
+def importance_ascending(spark, path):
+    """Features of each model, least important first."""
+    found = _permutation_importance(spark, path).groupBy("model").agg(F.sort_array(F.collect_list(F.struct("importance", "feature"))).alias("all"))
+    return found.select("model", F.posexplode("all").alias("at", "f")).select("model", "f.feature", (F.col("at") + 1).alias("place"))
+
+
 # Saved models -------------------------------------------------------------------------
 
 

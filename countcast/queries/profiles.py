@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from countcast.functions import storage_name
 from countcast.operators import options, profile
-from countcast.queries.catalogue import query, round6, unpivot_sql
 from countcast.operators.numbering import numbered_as_stored
-from countcast.sources.facts import read_facts, read_requests, read_unnumbered_requests, request_table, write_facts
+from countcast.queries.catalogue import query, round6, unpivot_sql
+from countcast.sources.facts import quarantine_facts, read_checked_facts, read_facts, read_requests, read_unnumbered_requests, request_table, write_facts
 from countcast.sources.star import headcount, order_lines, table
 from countcast.spec import CELLS, HEADCOUNT
 from countcast.workspace import scratch_path
@@ -44,6 +44,40 @@ def parquet_facts(spark, path):
     return facts.filter(F.col("fiscal_year").isin("1996/97", "1998/99"))
 
 
+# Faults planted in lines of text: a count in words, a field too many, a line cut short.
+_FAULT = """case when campus = 'ASIA' and career = 'F' then 'extra' when study_year = '5-LOW' and visa_status = 'BUILDING' then 'cut'
+  when attendance = 'P' and coop_regular = 'Co-op' then 'words' end"""
+
+
+def _planted_lines(spark, path):
+    """The fact table as CSV files, some lines of which are faulty."""
+    fields = [F.when(F.expr("fault = 'words'"), "n/a").otherwise(F.col(c).cast("string")) if c == "headcount" else F.col(c) for c in _COLUMNS]
+    facts = headcount(spark, path).withColumn("fault", F.expr(_FAULT))
+    line = F.when(F.expr("fault = 'cut'"), F.concat_ws(",", *fields[:2])).when(F.expr("fault = 'extra'"), F.concat_ws(",", *fields, F.lit("x"))).otherwise(F.concat_ws(",", *fields))
+    target = scratch_path(spark, "lines")
+    facts.select(line.alias(",".join(_COLUMNS))).write.option("header", True).option("sep", "\u0001").csv(target)
+    return target
+
+
+@query("S1_good_lines", f"select * from headcount where {_FAULT} is null")
+def good_lines(spark, path):
+    return read_checked_facts(spark, _planted_lines(spark, path), HEADCOUNT)[0]
+
+
+@query(
+    "S1_faulty_lines",
+    f"""select case when fault = 'words' then 'headcount is no whole number' else 'malformed line' end as reason,
+  case when fault = 'cut' then 'line' when fault = 'extra' then 'line' else 'row' end as given, count(*) as lines
+from (select {_FAULT} as fault from headcount) where fault is not null group by 1, 2""",
+)
+def faulty_lines(spark, path):
+    """Faulty lines as the quarantine table holds them, by reason; good ones are read beside it."""
+    target = scratch_path(spark, "faulty")
+    quarantine_facts(spark, _planted_lines(spark, path), HEADCOUNT, target)
+    given = F.when(F.col("line").startswith("{"), "row").otherwise("line")
+    return spark.read.parquet(target).groupBy("reason", given.alias("given")).agg(F.count("*").alias("lines"))
+
+
 REQUEST_ID_SQL = "row_number() over (order by {keys}) - 1 as request_id"
 
 

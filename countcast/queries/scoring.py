@@ -19,7 +19,7 @@ from countcast.queries.profiles import REQUEST_ID_SQL
 from countcast.sources.facts import request_table
 from countcast.sources.star import headcount, order_lines, table
 from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS, CountSpec
-from countcast.streaming import answer_stream, request_stream, score_stream, start_scoring
+from countcast.streaming import answer_stream, request_stream, score_stream, start_scoring, unique_requests
 from countcast.workspace import scratch_path
 
 _DIMS = ", ".join(HEADCOUNT.dims)
@@ -268,6 +268,24 @@ def request_stream_scored(spark, path):
     return spark.read.schema(replies.schema).parquet(output).select("request_id", "predicted_headcount")
 
 
+@query("T1_requests_sent_twice", _STREAM.format(best=_BEST_MODEL), ctes=_REQUESTS)
+def requests_sent_twice(spark, path):
+    """All requests are sent, and every third again after a restart: each has one reply."""
+    inbox, output, checkpoint = (scratch_path(spark, f"stream-{part}") for part in ("in", "out", "state"))
+    run = closed_form_run(spark, path)
+    sent = _requests(spark, path).withColumn("sent_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("request_id") % 600))
+
+    def drain():
+        once = unique_requests(request_stream(spark, inbox, ALL_DIMS, timed=True))
+        start_scoring(score_stream(once, ALL_DIMS, run.models[run.best]), output, checkpoint, once=True).awaitTermination()
+
+    sent.write.parquet(inbox)
+    drain()
+    sent.where("request_id % 3 = 0").write.mode("append").parquet(inbox)
+    drain()
+    return spark.read.parquet(output).select("request_id", "predicted_headcount")
+
+
 # Scenario grids -----------------------------------------------------------------------
 
 # Two dimensions narrowed, one cleared, the others open.

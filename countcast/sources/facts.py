@@ -43,6 +43,48 @@ def read_facts(
     )
 
 
+CORRUPT = "_corrupt_record"
+WHOLE_NUMBER = "^[+-]?[0-9]+$"
+
+
+def read_checked_facts(
+    spark: SparkSession, path: str, spec: CountSpec, format: str = "csv", headers: Mapping[str, str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(good, faulty)``: facts of text files as ``read_facts`` gives them, and the rows it cannot read.
+
+    Every line is in one of them. Faulty rows are ``(file, reason, line)``: lines that are not
+    CSV or JSON of the expected fields, and counts that are no whole number of 64 bits. A
+    missing value is no fault. All fields are read as text, so that a row's fault does
+    not depend on which columns a query asks for.
+    """
+    if format not in ("csv", "json"):
+        raise ValueError(f"format {format!r} keeps types itself: use read_facts")
+    shape = T.StructType([T.StructField(f.name, T.StringType()) for f in _file_schema(spec, headers, format).fields])
+    schema = T.StructType([*shape.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.format(format).schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+    if format == "csv":
+        reader = reader.option("header", True).option("columnPruning", False).option("enforceSchema", False)
+    names = {name: header for header, name in (headers or {}).items()}
+    count = F.col(f"`{names.get(spec.target, spec.target)}`")
+    unread = count.isNotNull() & (~count.rlike(WHOLE_NUMBER) | count.try_cast("bigint").isNull())
+    reason = F.when(F.col(CORRUPT).isNotNull(), "malformed line").when(unread, f"{spec.target} is no whole number")
+    checked = reader.load(path).withColumn("reason", reason)
+    facts = (F.col(f"`{names.get(f.name, f.name)}`").try_cast(f.dataType).alias(f.name) for f in spec.fact_schema())
+    whole_row = F.to_json(F.struct(*(F.col(f"`{f.name}`") for f in shape.fields)))
+    line = F.coalesce(F.col(CORRUPT), whole_row).alias("line")
+    faulty = checked.where("reason is not null").select(F.col("_metadata.file_path").alias("file"), "reason", line)
+    return checked.where("reason is null").select(*facts), faulty
+
+
+def quarantine_facts(
+    spark: SparkSession, path: str, spec: CountSpec, faulty_path: str, format: str = "csv", headers: Mapping[str, str] | None = None
+) -> DataFrame:
+    """The good facts; faulty rows are appended to a Parquet table, with their files and reasons."""
+    good, faulty = read_checked_facts(spark, path, spec, format, headers)
+    faulty.write.mode("append").parquet(faulty_path)
+    return good
+
+
 def _file_schema(spec: CountSpec, headers: Mapping[str, str] | None, format: str) -> T.StructType:
     names = {name: header for header, name in (headers or {}).items()}
     known = {names.get(f.name, f.name): f.dataType for f in spec.fact_schema()}

@@ -1,5 +1,5 @@
 """Scoring requests as they arrive."""
 
-from countcast.streaming.requests import answer_stream, request_stream, score_stream, start_scoring
+from countcast.streaming.requests import answer_stream, request_stream, score_stream, start_scoring, unique_requests
 
-__all__ = ["answer_stream", "request_stream", "score_stream", "start_scoring"]
+__all__ = ["answer_stream", "request_stream", "score_stream", "start_scoring", "unique_requests"]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from countcast.plans.score import answered, reply, score
@@ -9,15 +10,29 @@ from countcast.spec import CountSpec
 
 
 def request_stream(
-    spark: SparkSession, folder: str, spec: CountSpec, format: str = "parquet", files_per_batch: int | None = None
+    spark: SparkSession, folder: str, spec: CountSpec, format: str = "parquet", files_per_batch: int | None = None, timed: bool = False
 ) -> DataFrame:
-    """Requests from files dropped into a folder. ``files_per_batch`` bounds a batch's size."""
-    reader = spark.readStream.format(format).schema(spec.request_schema())
+    """Requests from files dropped into a folder. ``files_per_batch`` bounds a batch's size;
+    ``timed`` requests carry ``sent_at``, the time they were sent."""
+    schema = spec.request_schema()
+    if timed:
+        schema = T.StructType([*schema.fields, T.StructField("sent_at", T.TimestampType())])
+    reader = spark.readStream.format(format).schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.load(folder)
 
 
+def unique_requests(requests: DataFrame, within: str = "1 hour") -> DataFrame:
+    """Timed requests without those seen before: of equal ``request_id`` only the first is kept.
+
+    A request may be sent again as late as ``within`` after the first time. Numbers seen are state
+    in the checkpoint, so this holds across restarts; they are forgotten once the watermark has
+    passed, so the state holds one such span of requests.
+    """
+    return requests.withWatermark("sent_at", within).dropDuplicatesWithinWatermark(["request_id"])
+
+
 def score_stream(requests: DataFrame, spec: CountSpec, model: PipelineModel) -> DataFrame:
     """The batch scoring plan on a stream. It keeps no state, so batches are independent."""
     return reply(score(requests, spec, model), spec)
