@@ -20,7 +20,7 @@ from countcast.plans import train
 from countcast.plans.importance import permutation_importance
 from countcast.plans.score import apply_models, stack_predictions
 from countcast.queries.catalogue import query, round6, unpivot_sql
-from countcast.sources import registry
+from countcast.sources import documents, registry
 from countcast.sources.star import cells, headcount, order_lines
 from countcast.spec import CELLS, HEADCOUNT, CountSpec
 from countcast.workspace import scratch_path
@@ -567,6 +567,58 @@ def loaded_models_measure(spark, path):
     return metrics.regression_metrics(scored, columns).select("model", *round6("rmse", "r2", "mae"))
 
 
+# The nested document ------------------------------------------------------------------
+
+
+def _documented(spark, path) -> documents.Document:
+    run = closed_form_run(spark, path)
+    return documents.save_run(run.models, run.metrics, f"{scratch_path(spark, 'documents')}/models")
+
+
+_DOCUMENT = """select (select arg_max(model, r2) from measured) as best_model, model,
+  concat('models/runs/RUN/', replace(replace(lower(model), ' ', '_'), '-', '_')) as path,
+  round(rmse, 6) as "RMSE", round(r2, 6) as "R2", round(mae, 6) as "MAE" from measured"""
+
+
+@query("S6_nested_document_written", _DOCUMENT, ctes=_TEST)
+def nested_document(spark, path):
+    """The document as any JSON reader sees it."""
+    saved = _documented(spark, path)
+    entry = "struct<path:string,RMSE:double,R2:double,MAE:double>"
+    text = spark.read.text(f"{saved.root}/metadata.json", wholetext=True)
+    read = text.select(F.from_json("value", f"best_model string, models map<string,{entry}>").alias("d"))
+    entries = read.select("d.best_model", F.explode("d.models").alias("model", "e"))
+    place = F.regexp_replace("e.path", "runs/[^/]+/", "runs/RUN/").alias("path")
+    return entries.select("best_model", "model", place, *(F.round(f"e.{m}", 6).alias(m) for m in ("RMSE", "R2", "MAE")))
+
+
+@query("S7_document_models_in_moved_folder", _METRICS, ctes=_TEST)
+def moved_folder(spark, path):
+    """The root is moved and renamed; its document still leads to the models."""
+    saved = _documented(spark, path)
+    target = scratch_path(spark, "moved")
+    files = documents._Files(spark, saved.root)
+    files.system.rename(files.path(), documents._Files(spark, target).path())
+    models, _ = documents.load_models(documents.read_document(spark, target))
+    run = closed_form_run(spark, path)
+    return metrics.regression_metrics(*apply_models(run.test, run.spec, models)).select("model", *round6("rmse", "r2", "mae"))
+
+
+@query("S5_old_runs_removed", "select 'current' as run, model, true as loads from measured union all select 'old', model, false from measured", ctes=_TEST)
+def old_runs_removed(spark, path):
+    """Two published runs and a failed one; all but the last are removed."""
+    run = closed_form_run(spark, path)
+    root = f"{scratch_path(spark, 'documents')}/models"
+    old = documents.save_run(run.models, run.metrics, root, "20000101T000000Z")
+    run.models[train.LINEAR].write().save(f"{root}/runs/20010101T000000Z/linear_regression")
+    current = documents.save_run(run.models, run.metrics, root)
+    documents.remove_old_runs(spark, root, keep=1)
+    files = documents._Files(spark, root)
+    places = [(label, name, doc.path(name)) for label, doc in (("old", old), ("current", current)) for name in doc.models]
+    rows = [(label, name, files.system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/metadata"))) for label, name, place in places]
+    return spark.createDataFrame(rows, "run string, model string, loads boolean")
+
+
 # Tuned models: no closed form ---------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from countcast.operators import grid, option_tables, options
 from countcast.plans import score, train, whatif
 from countcast.queries.catalogue import query, round6, unpivot_sql
 from countcast.queries.models import (
+    _TEST,
     TRAINED,
     WEIGHTED,
     closed_form_run,
@@ -16,6 +17,7 @@ from countcast.queries.models import (
     tuned_run,
 )
 from countcast.queries.profiles import REQUEST_ID_SQL
+from countcast.sources import documents
 from countcast.sources.facts import request_table
 from countcast.sources.star import headcount, order_lines, table
 from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS, CountSpec
@@ -245,6 +247,19 @@ def unknown_model_names(spark, path):
     return score.unknown_models(names, listed)
 
 
+@query(
+    "F5_unknown_models_of_a_registry",
+    "select model from (values ('Random Forest'), ('Nearest Neighbours'), ('linear regression')) as asked(model) where model not in (select model from measured)",
+    ctes=_TEST,
+)
+def unknown_models_of_a_registry(spark, path):
+    """Requested names against the models of a published run."""
+    run = closed_form_run(spark, path)
+    saved = documents.save_run(run.models, run.metrics, f"{scratch_path(spark, 'documents')}/models")
+    names = spark.createDataFrame([("Random Forest",), ("Nearest Neighbours",), ("linear regression",)], "model string")
+    return score.unknown_models(names, documents.read_document(spark, saved.root).table(spark))
+
+
 @query("F6_empty_batch", f"select request_id, {_DIMS}, cast(0 as double) as predicted_headcount from requests where false", ctes=_REQUESTS)
 def empty_batch(spark, path):
     """No request matches; the answer is empty even though no such model exists."""
