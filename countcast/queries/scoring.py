@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from countcast.functions import count_prediction, two_decimals
+from countcast.functions import count_prediction, hash_bucket, two_decimals
 from countcast.operators import grid, option_tables, options
 from countcast.plans import score, train, whatif
 from countcast.queries.catalogue import query, round6, unpivot_sql
@@ -21,7 +21,19 @@ from countcast.sources import documents
 from countcast.sources.facts import request_table
 from countcast.sources.star import headcount, order_lines, table
 from countcast.spec import CELLS, HEADCOUNT, SUMMARY_DIMS, CountSpec
-from countcast.streaming import answer_stream, request_stream, score_stream, start_scoring, unique_requests
+from countcast.streaming import (
+    answer_stream,
+    current_means,
+    current_totals,
+    fact_stream,
+    mean_measures,
+    request_stream,
+    score_stream,
+    start_scoring,
+    start_totals,
+    total_measures,
+    unique_requests,
+)
 from countcast.workspace import scratch_path
 
 _DIMS = ", ".join(HEADCOUNT.dims)
@@ -301,6 +313,40 @@ def requests_sent_twice(spark, path):
     return spark.read.parquet(output).select("request_id", "predicted_headcount")
 
 
+@query(
+    "A9_totals_of_appended_facts",
+    f"""select dimension, value, cast(sum(headcount) as bigint) as total, count(*) as records
+from ({unpivot_sql("headcount", HEADCOUNT.dims, "headcount")}) group by 1, 2""",
+)
+def totals_of_appended_facts(spark, path):
+    """Facts arrive in three parts; after each, only the new ones are read."""
+    inbox, target, checkpoint = (scratch_path(spark, f"totals-{part}") for part in ("in", "out", "state"))
+    facts = headcount(spark, path).withColumn("part", hash_bucket(HEADCOUNT.dims, 3))
+    facts.write.partitionBy("part").parquet(stage := scratch_path(spark, "parts"))
+    for part in range(3):
+        spark.read.parquet(f"{stage}/part={part}").write.mode("append").parquet(inbox)
+        start_totals(fact_stream(spark, inbox, HEADCOUNT), HEADCOUNT.dims, total_measures(HEADCOUNT), target, checkpoint, once=True).awaitTermination()
+    return current_totals(spark, target, ["total", "records"])
+
+
+@query(
+    "A11_means_of_a_scored_stream",
+    "select dimension, value, floor(sum(cast(round(cents * 100) as bigint)) / count(*) + 0.5) / 100 as headcount from ("
+    + unpivot_sql("scored", CELLS.dims, "cents")
+    + ") group by all",
+    ctes=f"{_REQUESTS}, scored as (select *, round(final_prediction, 2) as cents from replies where model = '{train.FOREST}')",
+)
+def means_of_a_scored_stream(spark, path):
+    """Requests are scored as they arrive; their means by dimension are kept up to date."""
+    inbox, target, checkpoint = (scratch_path(spark, f"means-{part}") for part in ("in", "out", "state"))
+    model = closed_form_run(spark, path).models[train.FOREST]
+    for part in range(2):
+        _requests(spark, path).where(f"request_id % 2 = {part}").write.mode("append").parquet(inbox)
+        scored = score.score(request_stream(spark, inbox, ALL_DIMS), ALL_DIMS, model)
+        start_totals(scored, CELLS.dims, mean_measures("final_prediction"), target, checkpoint, once=True).awaitTermination()
+    return current_means(spark, target)
+
+
 # Scenario grids -----------------------------------------------------------------------
 
 # Two dimensions narrowed, one cleared, the others open.
