@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from countcast.functions import storage_name
 from countcast.operators import options, profile
+from countcast.operators.category_index import category_index, with_category_index
 from countcast.operators.numbering import numbered_as_stored
 from countcast.queries.catalogue import query, round6, unpivot_sql
 from countcast.sources.facts import quarantine_facts, read_checked_facts, read_facts, read_requests, read_unnumbered_requests, request_table, write_facts
@@ -201,6 +202,32 @@ def approx_distinct_counts(spark, path):
     return profile.approx_distinct_counts(headcount(spark, path))
 
 
+@query(
+    "P6_key_counts_from_bitmaps",
+    " union all ".join(
+        f"select l_returnflag, '{c}' as dimension, count(distinct {c}) as distinct_values from lineitem where {c} >= 0 group by 1"
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    ),
+)
+def key_counts_from_bitmaps(spark, path):
+    """Distinct keys of every return flag: tasks exchange bitmaps, not keys."""
+    return profile.bitmap_distinct_counts(
+        table(spark, path, "lineitem"), {c: c for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")}, ["l_returnflag"]
+    )
+
+
+@query(
+    "P6_rank_counts_from_bitmaps",
+    " union all ".join(f"select fiscal_year, '{d}' as dimension, count(distinct {d}) as distinct_values from headcount group by 1" for d in ("campus", "program_grouping")),
+)
+def rank_counts_from_bitmaps(spark, path):
+    """Distinct labels of every year, from the ranks of a category index."""
+    facts = headcount(spark, path)
+    spec = HEADCOUNT.with_dims("campus", "program_grouping")
+    indexed = with_category_index(facts.select("fiscal_year", *spec.dims), spec, category_index(facts, spec))
+    return profile.bitmap_distinct_counts(indexed, {d: F.col(f"{d}_idx") for d in spec.dims}, ["fiscal_year"])
+
+
 def _with_nulls(spark, path):
     """The fact table with nulls where ASIA, F and a count of 2 were."""
     return headcount(spark, path).withColumns(
