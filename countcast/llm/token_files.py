@@ -23,10 +23,12 @@ columns are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from countcast.llm.files import fresh_folder, fresh_name, opened
-from countcast.llm.words import Words, span_hashes, text_slices
+from countcast.llm.words import Words, text_slices
 from countcast.workspace import stored
 
 #: Fixed values of the format: ids in a word and bits of an id, by selector.
@@ -64,14 +66,18 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     left = np.minimum(np.arange(n, 0, -1), block - np.arange(n) % block)  # ids to the end of the block
     held = np.ones(n, np.int64)  # ids that a word beginning here takes
     selector = np.where(bits > 60, 0, 14).astype(np.uint8)
+    at = np.arange(n)  # where the selectors so far fit: a denser one holds more ids, each of fewer bits
     for s in range(13, 0, -1):
-        fits = bits <= BITS[s]
-        if not fits.any():
-            continue
-        wide = np.concatenate(([0], np.cumsum(~fits, dtype=np.int32)))
-        take = np.minimum(COUNTS[s], left)
-        good = (wide[np.arange(n) + take] == wide[:-1]) & (take > held)
-        held[good], selector[good] = take[good], s
+        take = np.minimum(COUNTS[s], left[at])
+        over = bits > BITS[s]
+        if over.any():
+            wide = np.concatenate(([0], np.cumsum(over, dtype=np.int32)))
+            fits = wide[at + take] == wide[at]
+            at, take = at[fits], take[fits]
+            if not len(at):
+                break
+        more = take > held[at]
+        held[at[more]], selector[at[more]] = take[more], s
     steps, at, starts = held.tolist(), 0, []
     while at < n:
         starts.append(at)
@@ -159,6 +165,7 @@ _PUNCT[[c for c in range(33, 127) if not _ALNUM[c] and c != 39]] = True
 def _tokenizer(path: str, plain: bool):
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has a task of its own
     out = Tokenizer.from_file(path)
     out.encode_special_tokens = plain
     return out
@@ -224,50 +231,56 @@ def segments(w: Words, added: tuple[bytes, ...] | None = ()) -> np.ndarray:
 class Encoder:
     """Ids of texts by the tokenizers library, with the ids of short segments remembered."""
 
-    def __init__(self, path: str, plain: bool = True) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
         self.path, self.plain = path, plain
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.starts = np.zeros(1, np.int64)  # of each remembered segment's ids, and the end
-        self.ids = np.empty(0, np.uint32)
+        self.known: dict[bytes, int] = {}
+        self.count = 0  # segments numbered so far
+        self.starts = np.zeros(1024, np.int64)  # of each numbered segment's ids, and the end
+        self.ids = np.empty(4096, np.uint32)
 
-    def _learn(self, texts: list[str], keys: list[int]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         found: list[list[int]] = []
-        for at in range(0, len(texts), 4096):
-            found += [e.ids for e in _tokenizer(self.path, self.plain).encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
-        self.known.update(zip(keys, range(len(self.starts) - 1, len(self.starts) - 1 + len(keys))))
-        ends = np.cumsum([len(f) for f in found], dtype=np.int64) + self.starts[-1]
-        self.starts = np.concatenate((self.starts, ends))
-        self.ids = np.concatenate((self.ids, np.array([i for f in found for i in f], np.uint32)))
+        for at in range(0, len(new), 4096):
+            texts = [s.decode() for s in new[at : at + 4096]]
+            found += [e.ids for e in _tokenizer(self.path, self.plain).encode_batch_fast(texts, add_special_tokens=False)]
+        count, first = self.count + len(new), int(self.starts[self.count])
+        self.known.update(zip(new, range(self.count, count)))
+        ends = np.cumsum([len(f) for f in found], dtype=np.int64) + first
+        last = int(ends[-1])
+        if count >= len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros(count, np.int64)))
+        if last > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty(last, np.uint32)))
+        self.starts[self.count + 1 : count + 1] = ends
+        self.ids[first:last] = np.fromiter(chain.from_iterable(found), np.uint32, last - first)
+        self.count = count
 
     def __call__(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all the texts, number of ids of each text)."""
         edges = segments(w, () if self.plain else _added(self.path))
         if len(edges) < 2:
             return np.empty(0, np.uint32), np.zeros(w.texts, np.int64)
-        if len(self.known) > REMEMBERED or len(self.ids) > 16 * REMEMBERED:
+        if len(self.known) > REMEMBERED or self.starts[self.count] > 16 * REMEMBERED:
             self.forget()
-        starts, ends = edges[:-1], edges[1:]
-        hashes = span_hashes(w.data, starts, ends)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            raw = w.data.tobytes()
-            texts = [raw[starts[i] : ends[i]].decode("utf-8") for i in first[new]]
-            place[new] = len(self.starts) - 1 + np.arange(len(new))
-            self._learn(texts, distinct[new].tolist())
-        at = place[which]
+        raw, cuts = w.data.tobytes(), edges.tolist()
+        found = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        at = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missing = [found[i] for i in unknown.tolist()]
+            new = list(dict.fromkeys(missing))
+            self._learn(new)
+            at[unknown] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+            for segment in new:  # long ones are not looked up again: they only take room
+                if len(segment) > _SHORT:
+                    del self.known[segment]
         lengths = self.starts[at + 1] - self.starts[at]
         total = np.concatenate(([0], np.cumsum(lengths)))
         source = np.repeat(self.starts[at] - total[:-1], lengths) + np.arange(total[-1])
-        ids = self.ids[source]
-        long = distinct[(ends - starts)[first] > _SHORT]
-        for key in long.tolist():  # long ones are not looked up again: their ids only take room
-            self.known.pop(key, None)
-        return ids, np.diff(total[np.searchsorted(starts, w.edges)])
+        return self.ids[source], np.diff(total[np.searchsorted(edges[:-1], w.edges)])
 
 
 @cache
@@ -277,10 +290,12 @@ def _encoder(path: str, plain: bool) -> Encoder:
 
 # --- files ------------------------------------------------------------------------------
 
+#: Bytes of files that a task reads.
+TASK_BYTES = 64 << 20
 CHUNKS = "shard int, chunk int, path string, offset bigint, bytes bigint, n_docs bigint, n_ids bigint"
 
 
-def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", plain: bool = True) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int | None = 0, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
     """Write the ids of every text and return the table of chunks, itself stored.
 
     ``plain``: strings of special tokens in a text are ordinary text; else they get their own ids,
@@ -348,11 +363,16 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 def read_token_files(chunks: DataFrame) -> DataFrame:
     """(key, start, n_tokens, ids_crc32) of every document, from the files alone.
 
-    ``start`` counts the ids of all the documents before it. Only the chunks' sizes are summed
-    in order: one small row for each chunk.
+    ``start`` counts the ids of all the documents before it: the chunks' sizes are summed in
+    order within each shard, and the shards' sums before it, one number a task of the writer, added.
     """
-    order = Window.orderBy("shard", "chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chunks.withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))
+    shards = sorted(map(tuple, chunks.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"), F.sum("bytes").alias("bytes")).collect()))  # a row a task of the writer
+    spark = chunks.sparkSession
+    first = list(zip((shard for shard, _, _ in shards), accumulate((n for _, n, _ in shards), initial=0)))
+    before_shard = spark.createDataFrame(first, "shard int, before_shard bigint")
+    order = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("n_ids").over(order), F.lit(0))
+    placed = chunks.withColumn("within", within).join(F.broadcast(before_shard), "shard").withColumn("before", F.col("before_shard") + F.col("within"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,12 +388,13 @@ def read_token_files(chunks: DataFrame) -> DataFrame:
                     names=["key", "start", "n_tokens", "ids_crc32"],
                 )
 
-    tasks = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number: small rows, much work
+    read_bytes = sum(size for _, _, size in shards)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-read_bytes // TASK_BYTES))  # small rows, much work
     spread = placed.select("path", "offset", "bytes", "before").repartition(tasks, "path", "offset")
     return spread.mapInArrow(read, "key bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_index(spark: SparkSession, docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", plain: bool = True) -> DataFrame:
+def token_index(spark: SparkSession, docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", plain: bool = False) -> DataFrame:
     """Write the token files of a table to a fresh shared folder and read them back."""
     chunks = write_token_files(docs, fresh_folder(spark, "tokens"), vocabulary, key=key, text=text, plain=plain)
     return read_token_files(chunks).withColumnRenamed("key", key)

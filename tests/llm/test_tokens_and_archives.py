@@ -38,9 +38,9 @@ def test_small_ids_share_words():
     assert len(words) <= 6000 / 60 + 2 and not len(escapes)
 
 
-def expected(docs) -> list[tuple]:
+def expected(docs, plain: bool = False) -> list[tuple]:
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = plain
     rows = sorted(((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     at, out = 0, []
     for key, text in rows:
@@ -58,6 +58,20 @@ def test_token_files_hold_the_library_s_ids(spark, documents, odd, empty):
     assert token_files.token_index(spark, empty, VOCABULARY).count() == 0
 
 
+def test_special_tokens_may_be_ordinary_text(spark, odd):
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in token_files.token_index(spark, odd, VOCABULARY, plain=True).collect())
+    assert got == sorted((k is not None, k or 0, n, c) for k, _, n, c in expected(odd, plain=True))
+    assert expected(odd, plain=True) != expected(odd)
+
+
+def test_long_words_are_told_apart(spark):
+    """Two words of 1,024 letters that a polynomial modulo 2 ** 64 gives the same value."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, one)], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in token_files.token_index(spark, docs.coalesce(1), VOCABULARY).collect()) == expected(docs)
+
+
 def test_op3_gives_special_tokens_their_ids_as_the_library_does(spark, documents, tmp_path):
     special = ["end of it<|endoftext|> next", "a<|endoftext|>b", "<|endoftext|>", "x.<|endoftext|><|endoftext|>  y\n <|endoftext|> z", "<|endof text|> <|endoftext", "no|> <|<|endoftext|>|>"]
     added = spark.createDataFrame([(100_000 + k, t) for k, t in enumerate(special)], "doc_id bigint, text string")
