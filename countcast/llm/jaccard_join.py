@@ -433,4 +433,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
     best = found.where("root is not null").groupBy("root").agg(F.min(first).alias("first"))
     kept = best.select(F.col("first.row").alias(_ROW)).union(found.where("root is null").select("row"))
-    return placed.join(kept, _ROW, "left_semi").select(*docs.columns)
+    return placed.join(kept, _ROW, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countcast.llm.rows import mapped
 from countcast.llm.words import Words, mixed, span_hashes, text_slices
 
 #: Characters that count as symbols.
@@ -221,7 +222,7 @@ def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text"
             for rows, w in text_slices(batch, text):
                 yield rows.filter(pa.array(kept_texts(w, order)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 #: Columns of ``judge``.

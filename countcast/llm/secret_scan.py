@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countcast.llm.rows import mapped
 from countcast.llm.words import Words, text_slices
 from countcast.workspace import stored
 
@@ -471,4 +472,4 @@ def redact(docs: DataFrame, text: str = "text", path: str = "source", mask: str
                     part = pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(part.schema.names, part.columns)], names=part.schema.names)
                 yield part
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)

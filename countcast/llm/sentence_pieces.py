@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from countcast.llm.rows import mapped
 from countcast.llm.words import text_slices
 
 #: The mark that stands for a space and for a text's begin (fixed by the vocabulary's format).
@@ -171,7 +172,7 @@ def _pieces(path: str) -> Pieces:
 
 def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All rows and columns, with the piece ids of ``text`` in a new (or replaced) column."""
-    docs = docs.drop(ids) if ids in docs.columns else docs
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != ids.lower()))
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +182,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", ids: str = "ids") ->
                 found = [None if t is None else np.array(pieces.encode(t), np.int32) for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int32()))], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

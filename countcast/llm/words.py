@@ -10,12 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, cached_property
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 1 << 20
+#: Longest byte range that is hashed by a polynomial.
+SHORT_SPAN = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WINDOW = np.uint64(0xD6E8FEB86659FD93)
@@ -46,7 +49,12 @@ def _power(inverse: bool, length: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges that do not overlap and are in order."""
+    """64-bit hashes of byte ranges that do not overlap and are in order.
+
+    Short ranges are polynomials modulo 2 ** 64, taken from running sums. Some patterns of 1,024
+    bytes and more have equal values under any such polynomial, so ranges of more than
+    ``SHORT_SPAN`` bytes get a digest of their own.
+    """
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
@@ -59,6 +67,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         h = (sums[b] - sums[a]) * _power(True, len(piece) + 1)[a]
         out[first:last] = mixed(h + (b - a).astype(np.uint64))
         first = last
+    for k in np.flatnonzero(ends - starts > SHORT_SPAN).tolist():
+        digest = blake2b(data[int(starts[k]) : int(ends[k])].tobytes(), digest_size=8).digest()
+        out[k] = int.from_bytes(digest, "little")
     return out
 
 
