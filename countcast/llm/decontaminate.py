@@ -3,13 +3,14 @@
 1. Benchmark texts are cut into passages. They are the queries; they are taken in blocks of
    bounded size, and each block is held against all documents.
 2. Document frequencies of a block's words are counted over all documents.
-3. TF-IDF rows of the block's passages, and of passages of a bounded sample of documents (about
-   ``FIT_DOCS``), span the latent space: a randomised SVD with a power iteration, whose products
-   with the rows are computed in tasks and summed by shuffles; only matrices of (words of the
-   block) x (rank) come to the driver.
-4. Every window of every document is projected, and the windows near a passage by cosine are
+3. A window that holds a passage has some of its rarest words (``marks``), so windows without
+   them are passed over: no other can pass step 6. Documents with windows left are stored.
+4. TF-IDF rows of the block's passages, and of all windows of all those documents, span the
+   latent space: a randomised SVD with a power iteration, whose products with the rows are computed
+   in tasks and summed by shuffles; only matrices of (words of the block) x (rank) come to the driver.
+5. Every window left is projected, and the windows near a passage by cosine are
    candidates (``NEAR``; recall against brute force is measured by a test).
-5. A candidate is checked by words: the longest common subsequence must hold ``COMMON`` of the
+6. A candidate is checked by words: the longest common subsequence must hold ``COMMON`` of the
    passage, or, for a paraphrase, ``PARAPHRASED`` of it with the answer in full. The answer is
    the ``answer`` column where the benchmark has one, else the last words of the text.
 
@@ -21,7 +22,7 @@ document rows are reported each; empty tables give no rows; other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,6 @@ PASSAGE = WINDOWS[-1] - STEP + 1
 #: Passages of the benchmark in a block (about).
 BLOCK = 256
 RANK, OVERSAMPLED = 160, 16
-#: Documents (about) of the sample in the fit. It shapes the space; every document is searched.
-FIT_DOCS = 2000
 #: Cosine from which a window is a candidate.
 NEAR = 0.55
 COMMON, PARAPHRASED = 0.8, 0.55
@@ -74,6 +73,7 @@ class Block:
     idf: np.ndarray | None = None
     space: np.ndarray | None = None  # words x rank, weighted by idf
     points: np.ndarray | None = None  # passages x rank, of length 1
+    marked: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)  # by first passage: see ``marks``
 
     def known(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(index among the text's words, place in the vocabulary) of the known words."""
@@ -145,8 +145,145 @@ def with_idf(block: Block, docs: DataFrame) -> int:
     return total
 
 
-def _fit_rows(spark: SparkSession, block: Block, docs: DataFrame, total: int) -> DataFrame:
-    """(words, weights): TF-IDF rows of length 1, of the passages and of the sample's windows."""
+def marks(block: Block, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each word, passages by word, times there, least): the words marked for each
+    of these passages, and how many of them, a word as often as there, a window must have
+    that holds it without its answer.
+
+    Of a passage's n words, m must then be in the window, so at most the others are missing: of its
+    rarest n - m + k words, at least k are there.
+    """
+    key = int(mine[0])
+    if key not in block.marked:
+        words, times, least = [], [], []
+        for p in mine:
+            w = np.array(block.words[p])
+            n = len(w)
+            m = max(int(np.ceil(COMMON * n)), min(n, SHORT))
+            k = (m + 1) // 2
+            for out, x in zip((words, times), np.unique(w[np.argsort(-block.idf[w], kind="stable")][: n - m + k], return_counts=True)):
+                out.append(x)
+            least.append(k)
+        of = np.repeat(np.arange(len(words)), [len(x) for x in words])
+        words, times = np.concatenate(words), np.concatenate(times)
+        order = np.argsort(words, kind="stable")
+        block.marked[key] = np.searchsorted(words[order], np.arange(len(block.vocabulary) + 1)), of[order], times[order], np.array(least)
+    return block.marked[key]
+
+
+def answers_at(block: Block, index: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which known word, passage) where the answer of a passage begins."""
+    size = len(block.vocabulary)
+    by_start: dict[int, list[int]] = {}
+    for p, answer in enumerate(block.answers):
+        if answer:
+            by_start.setdefault(answer[0] * size + (answer[1] if len(answer) > 1 else answer[0]), []).append(p)
+    singles = np.array(sorted({a[0] for a in block.answers if len(a) == 1}), np.int64)
+    nearby = np.append(index[1:] - index[:-1] == 1, False)[: len(index)]
+    pair = at * size + np.append(at[1:], 0)[: len(at)]
+    hit = nearby & np.isin(pair, np.array(sorted(by_start), np.int64))
+    alone = np.isin(at, singles)
+    out = []
+    for i in np.flatnonzero(hit | alone):
+        keys = {int(pair[i])} if hit[i] else set()
+        if alone[i]:
+            keys.add(int(at[i]) * size + int(at[i]))
+        for p in {p for key in keys for p in by_start.get(key, ())}:
+            n = len(block.answers[p])
+            if at[i : i + n].tolist() == block.answers[p] and index[min(i + n, len(index)) - 1] - index[i] == n - 1:
+                out.append((i, p))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def _marked(block: Block, mine: np.ndarray, step: np.ndarray, at: np.ndarray, first_step: np.ndarray, width: int, answers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether the window of ``width`` steps from each step has enough words marked for a passage, or
+    the begin of its answer: else it holds none.
+
+    A word counts in the windows that begin after the step where it was before: in each once.
+    ``answers`` are the steps where answers begin, and their passages.
+    """
+    first, passages_of, times, least = marks(block, mine)
+    some = np.flatnonzero(first[at + 1] > first[at])
+    step, at = step[some], at[some]
+    text = np.searchsorted(first_step, step, side="right") - 1
+    order = np.lexsort((step, at))
+    again = np.append(False, at[order][1:] == at[order][:-1])[: len(order)]
+    low = np.maximum(first_step[text], step - width + 1)
+    low[order[again]] = np.maximum(low[order[again]], step[order[np.flatnonzero(again) - 1]] + 1)
+    new = low <= step
+    step, at, low = step[new], at[new], low[new]
+    begin, many = first[at], first[at + 1] - first[at]
+    entry = np.repeat(begin - np.concatenate(([0], np.cumsum(many)))[:-1], many) + np.arange(many.sum())
+    size, steps = len(least), int(first_step[-1])
+    own = np.isin(answers[1], mine)
+    begun, answered = answers[0][own], np.searchsorted(mine, answers[1][own])
+    from_step = np.maximum(first_step[np.searchsorted(first_step, begun, side="right") - 1], begun - width + 1)
+    up, down = np.concatenate((np.repeat(low, many), from_step)), np.concatenate((np.repeat(step, many), begun)) + 1
+    of, weight = np.concatenate((passages_of[entry], answered)), np.concatenate((times[entry], least[answered]))
+    count = np.bincount(np.concatenate((up, down)) * size + np.tile(of, 2), np.concatenate((weight, -weight)), (steps + 1) * size).reshape(-1, size)[:steps]
+    return (np.cumsum(count, axis=0, out=count) >= least).any(axis=1)
+
+
+@dataclass
+class Windows:
+    """The known words of a slice's texts in steps, and the windows that may hold a passage."""
+
+    step: np.ndarray  # of each known word
+    at: np.ndarray  # place of each known word in the vocabulary
+    first_step: np.ndarray  # of each text
+    text_of_step: np.ndarray
+    known: np.ndarray  # known words before each step
+    classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # passages, first steps and last steps of windows
+
+
+def windows(block: Block, w: Words) -> Windows:
+    """The windows with words enough, and marked words enough, for a passage of their class."""
+    index, at = block.known(w)
+    per_text = -(-w.counts // STEP)  # steps of each text
+    first_step = np.concatenate(([0], np.cumsum(per_text)))
+    text = w.text_of[index]
+    step = first_step[text] + (index - w.first[text]) // STEP
+    steps = int(first_step[-1])
+    text_of_step = np.repeat(np.arange(w.texts), per_text)
+
+    def before(chosen: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(np.bincount(chosen, minlength=steps))))
+
+    known = before(step)
+    lengths = np.array([len(p) for p in block.words])
+    which, passage = answers_at(block, index, at)
+    classes = []
+    for k, width in enumerate(WINDOWS if len(index) else ()):
+        low = WINDOWS[k - 1] - STEP + 1 if k else 0
+        mine = np.flatnonzero((lengths > low) & (lengths <= width - STEP + 1))
+        if not len(mine):
+            continue
+        stop = np.minimum(np.arange(steps) + width // STEP, first_step[text_of_step + 1])
+        some = np.flatnonzero(known[stop] - known[:-1] >= max(1.0, PARAPHRASED * lengths[mine].min()))
+        if len(some):
+            some = some[_marked(block, mine, step, at, first_step, width // STEP, (step[which], passage))[some]]
+        if len(some):
+            classes.append((mine, some, stop[some]))
+    return Windows(step, at, first_step, text_of_step, known, classes)
+
+
+def possible(block: Block, docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text) of the documents with a window that may hold a passage of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, w in plain_slices(batch):
+                found = windows(block, w)
+                if found.classes:
+                    texts = np.unique(np.concatenate([found.text_of_step[some] for _, some, _ in found.classes]))
+                    yield part.take(pa.array(texts))
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, docs.select("row", "doc_id", "text").schema)
+
+
+def _fit_rows(spark: SparkSession, block: Block, docs: DataFrame) -> DataFrame:
+    """(words, weights): TF-IDF rows of length 1, of the passages and of the documents' windows."""
     idf, width = block.idf, WINDOWS[1]
 
     def weighted(at: np.ndarray) -> tuple[list[int], list[float]]:
@@ -157,22 +294,20 @@ def _fit_rows(spark: SparkSession, block: Block, docs: DataFrame, total: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
             for _, w in plain_slices(batch):
                 index, at = block.known(w)
                 window = w.text_of[index] * (1 << 32) + (index - w.first[w.text_of[index]]) // width
                 cut = np.flatnonzero(np.diff(window)) + 1
-                out += [weighted(a) for a in np.split(at, cut) if len(a)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.float64()))], names=["words", "weights"])
+                out = [weighted(a) for a in np.split(at, cut) if len(a)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.list_(pa.int32())), pa.array([o[1] for o in out], pa.list_(pa.float64()))], names=["words", "weights"])
 
     schema = T.StructType([T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
     own = spark.createDataFrame([weighted(np.array(p)) for p in block.words], schema)
-    every = max(1, total // FIT_DOCS)
-    sample = stored(docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").mapInArrow(run, schema), "sample")
-    # the sample weighs as much as the passages together: they are what is sought
-    weight = float(np.sqrt(len(block.words) / max(1, sample.count())))
-    light = sample.select("words", F.transform("weights", lambda x: x * F.lit(weight)).alias("weights"))
+    others = stored(docs.select("text").mapInArrow(run, schema), "windows")
+    # the documents weigh as much as the passages together: they are what is sought
+    weight = float(np.sqrt(len(block.words) / max(1, others.count())))
+    light = others.select("words", F.transform("weights", lambda x: x * F.lit(weight)).alias("weights"))
     return own.unionByName(light)
 
 
@@ -205,10 +340,12 @@ def _summed(rows: DataFrame, size: int, right: np.ndarray, gram: bool) -> np.nda
     return out
 
 
-def fit_space(spark: SparkSession, block: Block, docs: DataFrame, total: int) -> None:
+def fit_space(spark: SparkSession, block: Block, docs: DataFrame) -> None:
     """Randomised SVD: a random range, one power iteration, the Gram matrix of the projection."""
     size = len(block.vocabulary)
-    rows = stored(_fit_rows(spark, block, docs, total), "tf-idf").repartition(8)
+    rows = stored(_fit_rows(spark, block, docs), "tf-idf")
+    if (tasks := spark.sparkContext.defaultParallelism) > 1:  # at most; few rows are not worth more of them
+        rows = rows.coalesce(tasks)
     width = min(size, RANK + OVERSAMPLED)
     right = np.random.default_rng(11).standard_normal((size, width))
     for _ in range(2):
@@ -248,44 +385,24 @@ def leaked(passage: list[int], answer: list[int], window: list[int]) -> tuple[in
 
 def candidates(block: Block, w: Words, near: float = NEAR) -> Iterator[tuple[int, int, int, float]]:
     """(text, first word in the slice, passage, cosine) of the windows near a passage."""
-    index, at = block.known(w)
-    if not len(index):
-        return
-    per_text = -(-w.counts // STEP)  # steps of each text
-    first_step = np.concatenate(([0], np.cumsum(per_text)))
-    text = w.text_of[index]
-    step = first_step[text] + (index - w.first[text]) // STEP
-    steps = int(first_step[-1])
-    text_of_step = np.repeat(np.arange(w.texts), per_text)
-    last = first_step[text_of_step + 1]
-    known = np.zeros(steps + 1, np.int64)
-    known[1:] = np.cumsum(np.bincount(step, minlength=steps))
+    found = windows(block, w)
+    step, at, first_step, text_of_step, known = found.step, found.at, found.first_step, found.text_of_step, found.known
+    steps = len(text_of_step)
     lengths = np.array([len(p) for p in block.words])
-    here = np.arange(steps)
-    classes = []  # (passages, first steps, last steps) of windows with words enough for their shortest passage
     covered = np.zeros(steps + 1, np.int64)
-    for k, width in enumerate(WINDOWS):
-        low = WINDOWS[k - 1] - STEP + 1 if k else 0
-        mine = np.flatnonzero((lengths > low) & (lengths <= width - STEP + 1))
-        if not len(mine):
-            continue
-        stop = np.minimum(here + width // STEP, last)
-        some = np.flatnonzero(known[stop] - known[here] >= max(1.0, PARAPHRASED * lengths[mine].min()))
-        if len(some):
-            classes.append((mine, some, stop[some]))
-            np.add.at(covered, some, 1)
-            np.add.at(covered, stop[some], -1)
-    if not classes:
-        return
+    for _, some, stop in found.classes:
+        np.add.at(covered, some, 1)
+        np.add.at(covered, stop, -1)
     # only the steps of such windows are projected
     inside = (np.cumsum(covered)[step] > 0) & (block.idf[at] > 0)
     step, at = step[inside], at[inside]
     if not len(step):
         return
     sums = np.zeros((len(at) + 1, block.space.shape[1]), np.float32)
-    np.cumsum(block.space[at], axis=0, out=sums[1:])
+    np.take(block.space, at, axis=0, out=sums[1:])
+    np.cumsum(sums[1:], axis=0, out=sums[1:])
     before = np.searchsorted(step, np.arange(steps + 1))  # projected words before each step
-    for mine, some, stop in classes:
+    for mine, some, stop in found.classes:
         points = sums[before[stop]] - sums[before[some]]
         norms = np.linalg.norm(points, axis=1)
         cosine = points @ block.points[mine].T
@@ -340,9 +457,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     docs = docs.select(F.col(row).alias("row"), *columns) if row else with_row_ids(docs.select(*columns), "row")
     out = None
     for block in blocks(stored(passages(benchmark), "passages")):
-        total = with_idf(block, docs)
-        fit_space(spark, block, docs, total)
-        found = stored(_searched(block, docs), "leaks")
+        with_idf(block, docs)
+        near = stored(possible(block, docs), "possible")
+        fit_space(spark, block, near)
+        found = stored(_searched(block, near), "leaks")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else _searched(Block(np.zeros(1, np.uint64), [], [], []), docs.limit(0))
 

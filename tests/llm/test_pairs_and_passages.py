@@ -6,6 +6,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -198,3 +199,41 @@ def test_bit_parallel_subsequence():
             for j, y in enumerate(b):
                 table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
         assert decontaminate.common_words(a, b) == substring_dedup.common_words(a, b) == table[-1, -1]
+
+
+def test_the_space_is_fitted_on_every_document_that_may_hold_a_passage(spark):
+    """4,100 documents: one in two was in the fit before. No passage is lost by the bound on words."""
+    items = [prose(7000 + k, 60).replace("\n", " ").split(" ")[:30] for k in range(6)]
+    held = {k: " ".join([*prose(k, 20).split(), *edited(" ".join(items[k % 6]), k, 12).split(), *prose(-k - 1, 20).split()]) for k in range(0, 4100, 20)}
+    docs = spark.createDataFrame([(k, k, held.get(k, f"plain words of row {k}")) for k in range(4100)], "row bigint, doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    (block,) = decontaminate.blocks(decontaminate.passages(benchmark).cache())
+    assert decontaminate.with_idf(block, docs) == 4100
+    near = decontaminate.possible(block, docs)
+    assert {r.doc_id for r in near.collect()} == set(held)
+    rows = decontaminate._fit_rows(spark, block, near.cache()).count()
+    assert rows >= len(held) + len(items)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert len(found & {(k, k % 6) for k in held}) >= 0.9 * len(held)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 65), st.integers(2, 30))
+def test_no_window_that_holds_a_passage_is_passed_over(seed, n, spread):
+    pick = np.random.default_rng(seed)
+    passage = pick.integers(0, spread, n).tolist()
+    text = np.concatenate([pick.integers(0, spread + 8, pick.integers(0, 50)), [w for w in passage if pick.random() < 0.8], pick.integers(0, spread + 8, 30)]).astype(int)
+    _, w = next(decontaminate.plain_slices(pa.record_batch({"text": ["x", " ".join(f"w{k}" for k in text), None]})))
+    _, names = next(decontaminate.plain_slices(pa.record_batch({"text": [" ".join(f"w{k}" for k in range(spread))]})))
+    vocabulary = np.sort(names.hashes)
+    place = np.searchsorted(vocabulary, names.hashes)
+    own = place[passage].tolist()
+    block = decontaminate.Block(vocabulary, [1], [own], [own[-3:]], idf=pick.random(spread))
+    found = decontaminate.windows(block, w)
+    kept = {int(s) for _, some, _ in found.classes for s in some}
+    of_text = np.where(text < spread, place[np.minimum(text, spread - 1)], -1)
+    width = next(x for x in decontaminate.WINDOWS if n <= x - decontaminate.STEP + 1)
+    first = int(found.first_step[1])
+    for s in range(-(-len(text) // decontaminate.STEP)):
+        window = of_text[s * decontaminate.STEP : s * decontaminate.STEP + width].tolist()
+        assert first + s in kept or not decontaminate.leaked(own, own[-3:], window)[2]
