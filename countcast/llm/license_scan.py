@@ -1,13 +1,14 @@
 """License scans: a trained paragraph classifier, confirmed by templates. JVM only.
 
-Paragraphs are the lines of a text. Their words (letters and digits, lower case) and word pairs
-are hashed to sparse counts, on which a multinomial logistic regression tells licence families
-from each other and from ordinary text, the class ``unknown``. It is trained on the templates of
-the families, whole and in cut pieces, and on a bounded sample of the table's own paragraphs that
-hold no template's rare word. The least probability a family needs is calibrated on other
-paragraphs of that sample, so that at most ``FALSE_RATE`` of them would pass as any family. A
+Paragraphs are the lines of a text. Their words (letters and digits, lower case) and word pairs,
+as far as the templates have them too, are the terms on which a multinomial logistic regression
+tells licence families from each other and from ordinary text, the class ``unknown``. It is trained
+on the templates of the families, whole and in cut pieces, and on all the table's paragraphs that
+hold no template's rare word: those of equal terms are one weighted row. The documents are dealt in
+two halves by their row keys, one to learn from and one by which the least probability of a
+family is calibrated, so that at most ``FALSE_RATE`` of its paragraphs would pass as any family. A
 prediction counts when the family's template confirms it: enough of the template's word pairs
-are in the paragraph.
+are in the paragraph. Paragraphs that no template can confirm need no prediction.
 
 Everything is DataFrame functions and Spark ML stages: no Python runs on the executors.
 
@@ -18,9 +19,11 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,12 +63,12 @@ TEMPLATES = {
     ),
 }
 UNKNOWN = "unknown"
-#: Places of the hashed counts.
-FEATURES = 1 << 14
-#: Documents of the table (about) whose paragraphs are in training or calibration.
-SAMPLE = 1000
+#: Weight of a cut notice, and of all ordinary paragraphs together, in training.
+NOTICE, ORDINARY = 5.0, 5000.0
 #: Share of ordinary paragraphs that may pass the classifier (templates confirm after it).
 FALSE_RATE = 0.001
+#: Probabilities are told apart by one in so many when the least one is chosen.
+EDGES = 10_000
 #: Share of a template's word pairs that a paragraph must hold.
 CONFIRMED = 0.75
 #: Words in one scored piece of a longer paragraph, and between their beginnings; pieces overlap
@@ -107,8 +110,10 @@ def template_table(spark: SparkSession, templates: dict[str, tuple[str, ...]] =
     return spark.createDataFrame(rows, "family string, template string, notice string").select("family", "template", words(F.col("notice")).alias("words"))
 
 
-def _terms(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("terms", F.concat("words", pairs(F.col("words"))))
+def _with_terms(rows: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """With the column ``terms``: the words and pairs that the vocabulary has, each once, sorted."""
+    terms = F.array_intersect(F.concat("words", pairs(F.col("words"))), F.array(*map(F.lit, vocabulary)))
+    return rows.withColumn("terms", F.array_sort(terms))
 
 
 def _examples(table: DataFrame) -> DataFrame:
@@ -119,43 +124,58 @@ def _examples(table: DataFrame) -> DataFrame:
     return some.where(n > 3).select("family", F.slice("words", F.col("cut.a") + 1, n).alias("words"))
 
 
-def train(found: DataFrame, table: DataFrame) -> tuple[PipelineModel, list[str], float]:
-    """(model, families in the order of its classes, least probability) from the notices and the
-    paragraphs ``found``, a sample."""
+def train(found: DataFrame, table: DataFrame) -> tuple[PipelineModel, list[str], list[str], float]:
+    """(model, its vocabulary, families in the order of its classes, least probability) from the
+    notices and all the paragraphs ``found``."""
     families = sorted({r["family"] for r in table.select("family").collect()})
+    vocabulary = sorted({t for r in table.select(F.concat("words", pairs(F.col("words"))).alias("terms")).collect() for t in r["terms"]})
     common = ["under", "the", "this", "work", "is", "a", "in", "and", "or", "of", "to", "it", "you", "not", "use", "may", "are", "that", "by", "as", "any", "can", "file", "v", "2", "0", "3", "4", "with", "for", "free", "terms", "form", "code", "source"]
-    rare = table.select(F.explode("words").alias("w")).where(~F.col("w").isin(common)).distinct().agg(F.sort_array(F.collect_set("w")).alias("w")).first()["w"]
+    rare = [t for t in vocabulary if " " not in t and t not in common]
     plain = found.where(~F.arrays_overlap("words", F.array(*map(F.lit, rare))))
-    some = stored(plain.select(F.lit(UNKNOWN).alias("family"), "words", (F.rand(9) < 0.5).alias("fit")), "paragraphs")
-    rows = _examples(table).withColumn("weight", F.lit(5.0)).unionByName(some.where("fit").select("family", "words", F.lit(1.0).alias("weight")))
+    half = (F.pmod(F.xxhash64("row"), F.lit(2)) == 0).alias("fit")
+    some = stored(_with_terms(plain, vocabulary).groupBy("terms", half).agg(F.count("*").alias("n")), "paragraphs")
+    total = {r["fit"]: r["n"] for r in some.groupBy("fit").agg(F.sum("n").alias("n")).collect()}
+    ordinary = some.where("fit").select(F.lit(UNKNOWN).alias("family"), "terms", (F.col("n") * F.lit(ORDINARY / total.get(True, 1))).alias("weight"))
+    rows = _with_terms(_examples(table), vocabulary).select("family", "terms", F.lit(NOTICE).alias("weight")).unionByName(ordinary)
     classes = [UNKNOWN, *families]
     index = F.element_at(F.create_map(*(x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i))))), F.col("family"))
+    counts = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features", minTF=1.0).setBinary(True)
     stages = [
-        HashingTF(inputCol="terms", outputCol="features", numFeatures=FEATURES, binary=True),
+        counts,
         LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", regParam=0.003, maxIter=60),
     ]
-    model = Pipeline(stages=stages).fit(_terms(rows).withColumn("label", index).where("label is not null"))
-    scored = _scored(model, some.where("not fit"))
-    quantile = scored.agg(F.percentile_approx("p", 1 - FALSE_RATE, 10_000).alias("q")).first()["q"]
-    return model, classes, max(0.5, quantile or 0.0)
+    model = Pipeline(stages=stages).fit(rows.withColumn("label", index).where("label is not null"))
+    edge = F.ceil(F.col("p") * EDGES)
+    above = _scored(model, some.where("not fit")).where("p >= 0.5").groupBy(edge.alias("edge")).agg(F.sum("n").alias("n"))
+    allowed, least = FALSE_RATE * total.get(False, 0), 0.5
+    for r in above.orderBy(F.desc("edge")).collect():  # at most EDGES rows
+        allowed -= r["n"]
+        if allowed < 0:
+            least = (r["edge"] + 1) / EDGES
+            break
+    return model, vocabulary, classes, least
 
 
 def _scored(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """With the likeliest family (its class) and its probability ``p``."""
     known = F.slice(F.col("ps"), 2, F.size("ps") - 1)
-    out = model.transform(_terms(rows)).withColumn("ps", vector_to_array("probability"))
+    out = model.transform(rows).withColumn("ps", vector_to_array("probability"))
     return out.withColumn("p", F.array_max(known)).withColumn("class", F.array_position(known, F.col("p")).cast("int")).drop("features", "rawPrediction", "probability", "prediction", "ps")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, sample: int = SAMPLE) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """(doc_id, line, family, probability, similarity) of the lines that announce a licence."""
     spark = docs.sparkSession
     table = template_table(spark, templates)
     docs = with_row_ids(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "row")
-    found = paragraphs(docs)
-    model, classes, least = train(pieces(paragraphs(docs.sample(fraction=min(1.0, sample / max(1, docs.count())), seed=5))), table)
+    found = pieces(paragraphs(docs))
+    model, vocabulary, classes, least = train(found, table)
     names = F.array(*map(F.lit, classes))
-    passed = _scored(model, pieces(found)).where(F.col("p") >= least).withColumn("family", F.element_at(names, F.col("class") + 1))
+    notices = [set(r["pairs"]) for r in table.select(pairs(F.col("words")).alias("pairs")).collect()]
+    fewest = min(ceil(CONFIRMED * len(n)) for n in notices)
+    some_pairs = F.array_intersect(pairs(F.col("words")), F.array(*map(F.lit, sorted(set().union(*notices)))))
+    likely = stored(found.where(F.size(some_pairs) >= fewest), "likely")
+    passed = _scored(model, _with_terms(likely, vocabulary)).where(F.col("p") >= least).withColumn("family", F.element_at(names, F.col("class") + 1))
     own = pairs(F.col("words"))
     similarity = F.lit(0.0)
     for r in table.select("family", pairs(F.col("words")).alias("pairs")).collect():

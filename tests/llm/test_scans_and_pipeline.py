@@ -79,6 +79,16 @@ def test_licences_of_families_are_found(spark, documents, odd, empty):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(empty).count() == 0
 
 
+def test_license_classifier_learns_from_every_paragraph(spark, monkeypatch):
+    """3,000 documents: about one in three was looked at before."""
+    seen, stored = {}, license_scan.stored
+    monkeypatch.setattr(license_scan, "stored", lambda df, label: seen.setdefault(label, stored(df, label)))
+    docs = spark.createDataFrame([(k, f"the words of row x{k % 50}\nand a line") for k in range(3000)], "doc_id bigint, text string")
+    assert license_scan.scan(docs).count() == 0
+    counted = seen["paragraphs"].groupBy("terms").agg({"n": "sum"}).collect()
+    assert sum(r["sum(n)"] for r in counted) == 6000 and len(counted) == 2
+
+
 def test_license_scan_runs_no_python(spark, documents):
     plan = license_scan.scan(documents)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
