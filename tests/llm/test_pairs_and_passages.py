@@ -237,3 +237,15 @@ def test_no_window_that_holds_a_passage_is_passed_over(seed, n, spread):
     for s in range(-(-len(text) // decontaminate.STEP)):
         window = of_text[s * decontaminate.STEP : s * decontaminate.STEP + width].tolist()
         assert first + s in kept or not decontaminate.leaked(own, own[-3:], window)[2]
+
+
+def test_parts_of_a_dealt_list_stay_linked(spark, monkeypatch):
+    """A passage of 200 documents whose seeds' lists are dealt in 9 parts: one group, not nine."""
+    monkeypatch.setattr(substring_dedup, "LONG", 24)
+    passage = prose(1, 60).replace("\n", " ")
+    own = [" ".join(f"own{k}x{i}" for i in range(30)) for k in range(200)]
+    docs = spark.createDataFrame([(k, f"{w} {passage} {w}") for k, w in enumerate(own)], "doc_id bigint, text string").coalesce(1)
+    seeds, parts, _ = substring_dedup.frequent(docs)
+    assert len(seeds) and set(parts) == {9}
+    found = [(r.doc_id, r.other_doc_id) for r in substring_dedup.repeated_passages(docs).collect()]
+    assert set(groups(list(range(200)), found).values()) == {0}
