@@ -7,8 +7,10 @@ solves their normal equations by elimination.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +21,36 @@ from countcast.queries.catalogue import query, unpivot_sql
 from countcast.queries.models import _CELL_DIMS, _INDEX, TRAINED, WEIGHTED, bucket_sql
 from countcast.sources.star import cells
 from countcast.spec import CELLS
+from countcast.workspace import stored
+
+NAMES = (train.LINEAR, train.FOREST, train.BOOSTED)
+# All fits of a search at once: a fit is a long row of short jobs that leave most cores idle.
+FITS_AT_ONCE = 12
 
 _runs: dict[tuple[str, str, str], train.TrainingRun] = {}
+_cells: dict[tuple[str, str], DataFrame] = {}
 
 
 def reference_run(spark, path, name: str) -> train.TrainingRun:
     """The full search of one model: split, folds, all settings, refit, held-out figures."""
-    key = (spark.sparkContext.applicationId, path, name)
-    if key not in _runs:
+    app = spark.sparkContext.applicationId
+    if (app, path, name) not in _runs:
         candidate = next(c for c in train.candidates("reference") if c.name == name)
-        _runs[key] = train.train(cells(spark, path), WEIGHTED, [candidate], parallelism=8)
-    return _runs[key]
+        if (app, path) not in _cells:  # a few thousand rows, summed from all lines once for the three searches
+            _cells[app, path] = stored(cells(spark, path), "cells")
+        _runs[app, path, name] = train.train(_cells[app, path], WEIGHTED, [candidate], parallelism=FITS_AT_ONCE)
+    return _runs[app, path, name]
+
+
+def reference_runs(spark, path) -> list[train.TrainingRun]:
+    """The three searches, side by side."""
+    reference_run(spark, path, train.LINEAR)  # the shortest; it stores the cells
+
+    def run(name):
+        return reference_run(spark, path, name)
+
+    with ThreadPoolExecutor(len(NAMES)) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), NAMES))
 
 
 def _training_rows(spark, path) -> DataFrame:
@@ -150,7 +171,7 @@ def settings_by_error(spark, path):
 @query("L5_reference_settings")
 def reference_settings(spark, path):
     """All 15 settings of the full searches with their mean fold errors."""
-    return reduce(DataFrame.unionByName, (reference_run(spark, path, name).tuning for name in (train.LINEAR, train.FOREST, train.BOOSTED)))
+    return reduce(DataFrame.unionByName, (run.tuning for run in reference_runs(spark, path)))
 
 
 @query("L2_elastic_net_reference")
@@ -181,5 +202,5 @@ def boosted_reference(spark, path):
 @query("L10_reference_comparison")
 def reference_comparison(spark, path):
     """Held-out figures of the three full searches, the best one marked."""
-    figures = [reference_run(spark, path, name).metrics.drop("is_best") for name in (train.LINEAR, train.FOREST, train.BOOSTED)]
+    figures = [run.metrics.drop("is_best") for run in reference_runs(spark, path)]
     return metrics.with_best(reduce(DataFrame.unionByName, figures))
