@@ -15,8 +15,13 @@ from countcast.workspace import stored
 Scenario = Mapping[str, Sequence[str]]
 
 def option_catalogue(df: DataFrame, spec: CountSpec) -> DataFrame:
-    """Distinct ``(dimension, value)`` of all dimensions from one scan. Null is no option."""
-    return by_dimension(df, spec.dims).filter("value is not null").distinct()
+    """Distinct ``(dimension, value)`` of all dimensions from one scan. Null is no option.
+
+    Rows are counted by option, not just made distinct: the planner takes a distinct below a
+    minimum for needless, and then sorts all rows of all dimensions for the minimum of a string.
+    """
+    counted = by_dimension(df, spec.dims).filter("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    return counted.filter("n > 0").select("dimension", "value")
 
 
 def bounded_options(catalogue: DataFrame, max_options: int | None = None) -> DataFrame:
