@@ -17,11 +17,15 @@ from pyspark.sql import functions as F
 from countcast.operators.grid import ROWS_PER_PARTITION
 from countcast.operators.numbering import numbered
 from countcast.spec import MAX_COMBINATIONS, CountSpec
-from countcast.workspace import scratch_path
+from countcast.workspace import scratch_path, stored
 
 #: A selection: dimension, value, and the place that a user gave the value (null: by value).
 SELECTION = "dimension string, value string, position bigint"
 
+#: A dimension of more options than this gives the rows of a grid, unless each of them would come
+#: more than MOST_REPEATS times: a row's repeats are an array in its task.
+MANY_OPTIONS, MOST_REPEATS = 100_000, 100_000
+
 
 def resolved(catalogue: DataFrame, spec: CountSpec, chosen: DataFrame | None = None, cleared: Sequence[str] = ()) -> DataFrame:
     """A full selection ``(dimension, value, position)``: the chosen values of dimensions that have
@@ -54,7 +58,10 @@ class RankedOptions:
         if "position" not in selection.columns:
             selection = selection.withColumn("position", F.lit(None).cast("bigint"))
         once = selection.groupBy("dimension", "value").agg(F.min("position").alias("position"))
-        ranked = numbered(once, ["dimension", F.asc_nulls_last("position"), "value"], "rank", groups=["dimension"])
+        placed = stored(numbered(once, ["dimension", F.asc_nulls_last("position"), "value"], "place"), "placed")
+        # a dimension of very many options would be one task in a join of large tables
+        first = self.spark.createDataFrame(placed.groupBy("dimension").agg(F.min("place").alias("first")).collect(), "dimension string, first bigint")  # a row a dimension
+        ranked = placed.join(F.broadcast(first), "dimension").withColumn("rank", F.col("place") - F.col("first"))
         self._path = scratch_path(self.spark, "options")
         folder = F.array_position(F.array(*map(F.lit, spec.dims)), F.col("dimension")).alias("folder") if spec.dims else F.lit(0).alias("folder")
         ranked.select(folder, "dimension", "rank", "value").where("folder > 0").write.partitionBy("folder").parquet(self._path)
@@ -101,10 +108,17 @@ class RankedOptions:
 
         Row ``request_id`` holds the mixed-radix digits of its own number, joined with the
         ranks one dimension after the other. Digits are spread evenly, so no join key is hot.
+        A list of very many options is not joined: its own rows are repeated for all combinations of
+        the others, so that the rows of the grid, which are many more, need no shuffle.
         """
         size = self.check(limit)
         wanted = max(ceil(size / ROWS_PER_PARTITION), min(self.spark.sparkContext.defaultParallelism, size), 1)
-        rows = self.spark.range(size, numPartitions=wanted).withColumnRenamed("id", "request_id")
+        longest = max(self.spec.dims, key=self.counts.__getitem__, default=None)
+        repeated = longest is not None and self.counts[longest] > MANY_OPTIONS and 0 < size <= self.counts[longest] * MOST_REPEATS
+        if repeated:
+            rows = self._repeated(longest, size)
+        else:
+            rows = self.spark.range(size, numPartitions=wanted).withColumnRenamed("id", "request_id")
         stride = size
         for i, dim in enumerate(self.spec.dims):
             radix = max(self.counts[dim], 1)
@@ -113,6 +127,18 @@ class RankedOptions:
         # the shortest lists first: they are broadcast, and what is shuffled later stays narrow
         for i in sorted(range(len(self.spec.dims)), key=lambda i: self.counts[self.spec.dims[i]]):
             dim = self.spec.dims[i]
+            if repeated and dim == longest:
+                rows = rows.drop(f"digit_{i}")
+                continue
             options = self.of(dim).select(F.col("rank").alias(f"rank_{i}"), F.col("value").alias(dim))
             rows = rows.join(options, F.col(f"digit_{i}") == F.col(f"rank_{i}")).drop(f"digit_{i}", f"rank_{i}")
         return rows.select("request_id", *self.spec.dims)
+
+    def _repeated(self, dim: str, size: int) -> DataFrame:
+        """``(request_id, dim)``: each option of ``dim`` at all its places in a grid of ``size`` rows,
+        in the tasks that read the options, which are stored in order."""
+        radix = self.counts[dim]
+        stride = prod(self.counts[d] for d in self.spec.dims[self.spec.dims.index(dim) + 1 :])
+        rows = self.of(dim).select("rank", F.col("value").alias(dim), F.explode(F.sequence(F.lit(0), F.lit(size // radix - 1))).alias("other"))
+        request = F.expr(f"(other div {stride} * {radix}L + rank) * {stride}L + other % {stride}")
+        return rows.select(request.alias("request_id"), dim)

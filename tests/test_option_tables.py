@@ -105,3 +105,30 @@ def test_years_of_scenarios_follow_the_strict_rule(year):
     with pytest.raises(ValueError, match="malformed year"):
         whatif.check_values({"fiscal_year": [year]}, CELLS)
     whatif.check_values({"fiscal_year": ["2029/30"]}, CELLS)
+
+
+@pytest.mark.parametrize("scenario", [{}, {"c": ["7", "1", "99"]}, {"a": [], "b": ["q", "p"]}])
+@pytest.mark.parametrize("place", range(3))
+def test_grids_built_from_the_rows_of_the_longest_list(spark, monkeypatch, scenario, place):
+    spec = CountSpec(("a", "b", "c")[place:] + ("a", "b", "c")[:place], year_dim=None)
+    chosen = spark.createDataFrame([(d, v, i) for d, values in scenario.items() for i, v in enumerate(values)], option_tables.SELECTION)
+    cleared = [d for d, values in scenario.items() if not values]
+    by_table = option_tables.RankedOptions(option_tables.resolved(catalogue(spark), spec, chosen, cleared), spec)
+    joined = rows(by_table.grid())
+    monkeypatch.setattr(option_tables, "MANY_OPTIONS", 1)
+    assert rows(by_table.grid()) == joined and len(joined) == by_table.combinations()
+
+
+def test_rows_of_a_long_list_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(option_tables, "MANY_OPTIONS", 10_000)
+    orders = spark.range(20_000).select(F.lit("c").alias("dimension"), F.col("id").cast("string").alias("value"))
+    long = option_tables.RankedOptions(option_tables.resolved(catalogue(spark).where("dimension <> 'c'").unionByName(orders), SPEC), SPEC)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # the short lists are far below, the long one above
+    try:
+        grid = long.grid(limit=None)
+        plan = grid._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    found = grid.agg(F.count("*"), F.count_distinct("request_id"), F.min("request_id"), F.max("request_id"), F.count_distinct("c")).first()
+    assert found == (120_000, 120_000, 0, 119_999, 20_000)
