@@ -67,7 +67,17 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     held = np.ones(n, np.int64)  # ids that a word beginning here takes
     selector = np.where(bits > 60, 0, 14).astype(np.uint8)
     at = np.arange(n)  # where the selectors so far fit: a denser one holds more ids, each of fewer bits
-    for s in range(13, 0, -1):
+    dense = int(np.searchsorted(BITS[1:14], bits.max())) + 1  # the densest that fits everywhere; 14: none is sure to
+    if dense < 14:  # only the ends of blocks have to look at those before it
+        ends = np.flatnonzero(left < COUNTS[dense])
+        some, kept, chosen = left[ends], held[ends], selector[ends]
+        for s in range(13, dense - 1, -1):
+            take = np.minimum(COUNTS[s], some)
+            chosen[take > kept] = s
+            kept = np.maximum(kept, take)
+        held[:], selector[:] = COUNTS[dense], dense
+        held[ends], selector[ends] = kept, chosen
+    for s in range(dense - 1, 0, -1):
         take = np.minimum(COUNTS[s], left[at])
         over = bits > BITS[s]
         if over.any():

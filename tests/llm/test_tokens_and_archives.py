@@ -33,6 +33,27 @@ def test_packed_ids_come_back(ids, block):
         assert token_files.unpack(own, np.array([0, len(own)]), escapes, len(part), block).tolist() == part
 
 
+@pytest.mark.parametrize("top", [1, 2, 5, 12, 16, 20, 30, 31, 61])
+@pytest.mark.parametrize("block", [7, 64])
+def test_each_word_takes_the_most_ids_that_fit(top, block):
+    """Also at the ends of blocks, where fewer ids are left than the densest sure selector holds."""
+    rng = np.random.default_rng(top)
+    ids = rng.integers(0, 1 << top, 500, dtype=np.uint64)
+    ids[rng.random(500) < 0.5] %= np.uint64(4)
+    bits, at, chosen = token_files.widths(ids), 0, []
+    while at < 500:
+        left = min(500 - at, block - at % block)
+        best, took = (0, 1) if bits[at] > 60 else (14, 1)
+        for s in range(13, 0, -1):
+            take = min(int(token_files.COUNTS[s]), left)
+            if take > took and (bits[at : at + take] <= token_files.BITS[s]).all():
+                best, took = s, take
+        chosen.append(best)
+        at += took
+    words, _, _ = token_files.pack(ids, block)
+    assert (words >> np.uint64(60)).tolist() == chosen
+
+
 def test_small_ids_share_words():
     words, _, escapes = token_files.pack(np.ones(6000, np.uint64))
     assert len(words) <= 6000 / 60 + 2 and not len(escapes)
