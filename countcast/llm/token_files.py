@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from countcast.llm.files import fresh_folder, fresh_name, opened
-from countcast.llm.words import Words, text_slices
+from countcast.llm.words import Words, mixed, text_slices
 from countcast.workspace import stored
 
 #: Fixed values of the format: ids in a word and bits of an id, by selector.
@@ -62,47 +62,45 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint64)
-    bits = widths(ids)
-    left = np.minimum(np.arange(n, 0, -1), block - np.arange(n) % block)  # ids to the end of the block
-    held = np.ones(n, np.int64)  # ids that a word beginning here takes
-    selector = np.where(bits > 60, 0, 14).astype(np.uint8)
-    at = np.arange(n)  # where the selectors so far fit: a denser one holds more ids, each of fewer bits
-    dense = int(np.searchsorted(BITS[1:14], bits.max())) + 1  # the densest that fits everywhere; 14: none is sure to
-    if dense < 14:  # only the ends of blocks have to look at those before it
-        ends = np.flatnonzero(left < COUNTS[dense])
-        some, kept, chosen = left[ends], held[ends], selector[ends]
-        for s in range(13, dense - 1, -1):
-            take = np.minimum(COUNTS[s], some)
-            chosen[take > kept] = s
-            kept = np.maximum(kept, take)
-        held[:], selector[:] = COUNTS[dense], dense
-        held[ends], selector[ends] = kept, chosen
-    for s in range(dense - 1, 0, -1):
-        take = np.minimum(COUNTS[s], left[at])
-        over = bits > BITS[s]
-        if over.any():
-            wide = np.concatenate(([0], np.cumsum(over, dtype=np.int32)))
-            fits = wide[at + take] == wide[at]
-            at, take = at[fits], take[fits]
-            if not len(at):
-                break
-        more = take > held[at]
-        held[at[more]], selector[at[more]] = take[more], s
-    steps, at, starts = held.tolist(), 0, []
+    blocks, whole = -(-n // block), n // block
+    # each block is a row, with zeros after it: they fit everywhere, and ``left`` does not count them
+    values = np.zeros((blocks, block + int(COUNTS[1])), np.uint64 if ids.max() >> np.uint64(32) else np.uint32)
+    values[:whole, :block] = ids[: whole * block].reshape(whole, block)
+    values[whole:, : n - whole * block] = ids[whole * block :]
+    left = np.tile(np.minimum(np.arange(block, 0, -1), 255).astype(np.uint8), (blocks, 1))  # ids to the end of the block
+    left[whole:] = np.clip(n - whole * block - np.arange(block), 0, 255)
+    held = np.ones((blocks, block), np.uint8)  # ids that a word beginning here takes
+    selector = np.where(values[:, :block] > _LOW, 0, 14).astype(np.uint8)
+    for s in range(13, 0, -1):
+        fits, have, count = values < 1 << int(BITS[s]), 1, int(COUNTS[s])
+        while have < count:  # whether this id and those after it fit
+            step = min(have, count - have)
+            fits = fits[:, :-step] & fits[:, step:]
+            have += step
+        fits = fits[:, :block]
+        if not fits.any():
+            break  # a denser selector holds more ids, each of fewer bits
+        take = np.minimum(left, np.uint8(count))
+        more = fits & (take > held)
+        np.copyto(held, take, where=more)
+        np.copyto(selector, np.uint8(s), where=more)
+    steps, at, starts = held.tobytes(), 0, []
     while at < n:
         starts.append(at)
         at += steps[at]
     where = np.array(starts, np.int64)
-    chosen, taken = selector[where], held[where]
+    chosen, taken = selector.ravel()[where], held.ravel()[where]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
         rows = np.flatnonzero(chosen == s)
         if s == 0:
             words[rows] |= np.arange(len(rows), dtype=np.uint64)
             continue
-        for k in range(int(taken[rows].max())):
-            some = rows[taken[rows] > k]
-            words[some] |= ids[where[some] + k] << np.uint64(BITS[s] * k)
+        full = taken[rows] == COUNTS[s]
+        for some in (rows[full], rows[~full]):  # the others are the ends of blocks
+            for k in range(int(taken[some].max(initial=0))):
+                some = some[taken[some] > k] if taken[some[0]] < COUNTS[s] else some
+                words[some] |= ids[where[some] + k] << np.uint64(BITS[s] * k)
     offsets = np.append(np.searchsorted(where, np.arange(0, n, block)), len(words))
     return words, offsets, ids[where[chosen == 0]]
 
@@ -163,6 +161,9 @@ def read_chunk(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 #: Segments that a worker remembers the ids of; beyond, it starts anew. No result depends on it.
 REMEMBERED = 1_000_000
 _SHORT = 64
+#: Segments of so many bytes at most are looked up at once, in a table of so many (two to this
+#: power) places: each holds the last segment that came to it, whole, so that no other is taken for it.
+_PACKED, _PLACES = 15, 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _ALNUM = np.zeros(256, bool)
@@ -238,6 +239,17 @@ def segments(w: Words, added: tuple[bytes, ...] | None = ()) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def packed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ranges of 1 to _PACKED bytes as two numbers each: the bytes, and their number on top."""
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(16, np.uint8))), 8)
+    low = eights[starts].view("<u8").ravel() & _FIRST_BYTES[np.minimum(lengths, 8)]
+    high = eights[starts + 8].view("<u8").ravel() & _FIRST_BYTES[np.maximum(lengths - 8, 0)]
+    return low, high | lengths.astype(np.uint64) << np.uint64(56)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, with the ids of short segments remembered."""
 
@@ -250,6 +262,8 @@ class Encoder:
         self.count = 0  # segments numbered so far
         self.starts = np.zeros(1024, np.int64)  # of each numbered segment's ids, and the end
         self.ids = np.empty(4096, np.uint32)
+        self.low, self.high = np.zeros((2, 1 << _PLACES), np.uint64)  # no segment has a length of 0
+        self.number = np.zeros(1 << _PLACES, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
         found: list[list[int]] = []
@@ -275,18 +289,31 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(w.texts, np.int64)
         if len(self.known) > REMEMBERED or self.starts[self.count] > 16 * REMEMBERED:
             self.forget()
-        raw, cuts = w.data.tobytes(), edges.tolist()
-        found = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-        at = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
-        unknown = np.flatnonzero(at < 0)
+        sizes = np.diff(edges)
+        at = np.full(len(sizes), -1)
+        short = np.flatnonzero((sizes > 0) & (sizes <= _PACKED))
+        low, high = packed(w.data, edges[short], sizes[short])
+        place = (mixed(low ^ high * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _PLACES)).astype(np.int64)
+        here = (self.low[place] == low) & (self.high[place] == high)
+        at[short[here]] = self.number[place[here]]
+        others = np.flatnonzero(at < 0)
+        raw = w.data.tobytes()
+        found = [raw[a:b] for a, b in zip(edges[others].tolist(), edges[others + 1].tolist())]
+        numbers = np.fromiter(map(self.known.get, found, repeat(-1)), np.int64, len(found))
+        unknown = np.flatnonzero(numbers < 0)
         if len(unknown):
             missing = [found[i] for i in unknown.tolist()]
             new = list(dict.fromkeys(missing))
             self._learn(new)
-            at[unknown] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+            numbers[unknown] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
             for segment in new:  # long ones are not looked up again: they only take room
                 if len(segment) > _SHORT:
                     del self.known[segment]
+        at[others] = numbers
+        away = np.flatnonzero(~here)
+        taken, last = np.unique(place[away], return_index=True)  # one of those that come to a place
+        away = away[last]
+        self.low[taken], self.high[taken], self.number[taken] = low[away], high[away], at[short[away]]
         lengths = self.starts[at + 1] - self.starts[at]
         total = np.concatenate(([0], np.cumsum(lengths)))
         source = np.repeat(self.starts[at] - total[:-1], lengths) + np.arange(total[-1])

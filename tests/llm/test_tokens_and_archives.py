@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 from countcast.llm import queries, sentence_pieces, token_files, warc
 from countcast.llm.files import fresh_folder
+from countcast.llm.words import Words, buffer_of
 from tests.llm.conftest import prose
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -171,3 +173,37 @@ def test_large_payloads_are_read_in_chunks(spark):
     assert b"".join(r.data for r in rows) == body.encode()
     assert [r.last for r in rows] == [False] * (len(rows) - 1) + [True]
     assert [r.digest is None for r in rows] == [True] * (len(rows) - 1) + [False]
+
+
+def test_segments_seen_before_are_not_looked_up_one_by_one():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    text = prose(7, 20_000)
+    encode = token_files.Encoder(VOCABULARY)
+    encode.known = Counted()
+    once = [x.tolist() for x in encode(texts_of([text]))]
+    new, Counted.asked = Counted.asked, 0
+    assert [x.tolist() for x in encode(texts_of([text]))] == once
+    assert new > 10 * Counted.asked
+
+
+@pytest.mark.parametrize("places", [1, 3, 19])
+def test_ids_do_not_depend_on_the_places_of_segments(monkeypatch, places):
+    monkeypatch.setattr(token_files, "_PLACES", places)
+    encode = token_files.Encoder(VOCABULARY)
+    library = Tokenizer.from_file(VOCABULARY)
+    odd = ["", "a", "a\0", "\0a", "\0" * 9, "x" * 14, "x" * 15, "x" * 16, " " + "é" * 7, "word " * 40, "a b\0 b b\0\0", "<|endoftext|> 'tis", "日本 語 12,5%\tz"]
+    for texts in (odd, odd[::-1], [prose(k, 60) for k in range(20)] + odd):
+        ids, counts = encode(texts_of(texts))
+        wanted = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(x) for x in wanted]
+        assert ids.tolist() == [i for x in wanted for i in x]
+
+
+def texts_of(texts: list[str]) -> Words:
+    return Words(*buffer_of(pa.array(texts, pa.large_string())))
