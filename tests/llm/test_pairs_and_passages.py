@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from countcast.llm import decontaminate, jaccard_join, substring_dedup
 from countcast.llm.components import components
+from countcast.llm.words import Words, buffer_of
 from tests.llm.conftest import edited, prose
 
 
@@ -249,3 +250,38 @@ def test_parts_of_a_dealt_list_stay_linked(spark, monkeypatch):
     assert len(seeds) and set(parts) == {9}
     found = [(r.doc_id, r.other_doc_id) for r in substring_dedup.repeated_passages(docs).collect()]
     assert set(groups(list(range(200)), found).values()) == {0}
+
+
+def test_linked_documents_share_a_shingle_that_is_early_in_both(spark):
+    texts = [prose(9, 200)] + [edited(prose(9, 200), k, 40) for k in range(30)] + [prose(k, 60 + k) for k in range(40, 60)] + ["one", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    none = np.empty(0, np.int64)
+    rows = jaccard_join._postings(docs, none, none, 1.0).collect()
+    edges, h = jaccard_join.shingle_sets(Words(*buffer_of(pa.array(texts, pa.large_string()))))
+    whole = {jaccard_join.node_of(h[a:b]): set(h[a:b].tolist()) for a, b in zip(edges[:-1], edges[1:])}
+    early, listed = {}, {}
+    for r in rows:
+        listed.setdefault(r.node, set()).add(r.shingle)
+        if r.n % 2:
+            early.setdefault(r.node, set()).add(r.shingle)
+        assert r.n // 2 == len(whole[r.node])
+    links = 0
+    for a, s in whole.items():
+        n = len(s)
+        assert len(early[a]) == n - jaccard_join.needed(n) + 1 <= len(listed[a]) < max(n, 2)
+        for b, t in whole.items():
+            if a < b and 100 * len(s & t) >= jaccard_join.PERCENT * len(s | t):
+                links += 1
+                assert early[a] & early[b]
+    assert links > 20
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1), min_size=1, max_size=12), st.data())
+def test_lists_are_probed_at_once(sets, data):
+    lists = jaccard_join.Lists([sorted(s) for s in sets])
+    x = data.draw(st.integers(0, len(sets) - 1))
+    begin, _ = lists.before(x)
+    docs = np.array(sorted(data.draw(st.sets(st.integers(0, max(0, x - 1)), min_size=1))), np.int64)
+    earlier = {e for s in sets[:x] for e in s} & sets[x]
+    assert lists.probed(begin, docs).tolist() == [len(earlier & sets[y]) for y in docs]
