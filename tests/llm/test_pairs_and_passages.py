@@ -285,3 +285,37 @@ def test_lists_are_probed_at_once(sets, data):
     docs = np.array(sorted(data.draw(st.sets(st.integers(0, max(0, x - 1)), min_size=1))), np.int64)
     earlier = {e for s in sets[:x] for e in s} & sets[x]
     assert lists.probed(begin, docs).tolist() == [len(earlier & sets[y]) for y in docs]
+
+
+def test_passages_of_which_every_part_is_common_elsewhere(spark):
+    """Each run of words that the two of a pair share is in 40 or 600 others, too, so neither is next to
+    the other in a list."""
+    rows, meant = [], set()
+    for k in range(3):
+        parts = [" ".join(prose(9100 + 10 * k + i, 20).split()[:12]) for i in range(5)]
+        for side in (0, 1):
+            rows.append((2 * k + side, f"{prose(9200 + 2 * k + side, 60)}\n" + " ".join(f"{p} odd{k}x{side}x{i}" for i, p in enumerate(parts)) + f"\n{prose(9300 + 2 * k + side, 40)}"))
+        meant.add((2 * k, 2 * k + 1))
+        rows += [(1000 * (k + 1) + n, " ".join([*(f"a{k}x{n}x{j}" for j in range(30)), p, *(f"b{k}x{n}x{j}" for j in range(30))])) for i, p in enumerate(parts) for n in range(100 * i, 100 * i + 40)]
+        rows += [(10_000 * (k + 1) + n, " ".join([*(f"c{k}x{n}x{j}" for j in range(25)), parts[0], *(f"d{k}x{n}x{j}" for j in range(25))])) for n in range(560 if k == 0 else 0)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.other_doc_id))) for r in found} == meant
+    assert all(r.common_words >= 60 for r in found)
+
+
+def test_a_passage_of_two_passages_is_reported_whole(spark):
+    first, second = (" ".join(prose(k, 80).split()[:60]) for k in (8801, 8802))
+    rows = [(k, f"{prose(8900 + k, 60)}\n{(first, second)[k % 2]}\n{prose(9000 + k, 60)}") for k in range(80)]
+    rows += [(k, f"{prose(8500 + k, 60)}\n{first}\n{second}\n{prose(8700 + k, 60)}") for k in (500, 501)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert any({r.doc_id, r.other_doc_id} == {500, 501} and r.common_words >= 120 for r in found)
+    one = groups([*range(80), 500, 501], [(r.doc_id, r.other_doc_id) for r in found])
+    assert set(one.values()) == {0}  # linked by the documents that have both
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 5), min_size=7, max_size=7), min_size=1, max_size=5), st.lists(st.lists(st.integers(0, 5), min_size=7, max_size=7), min_size=1, max_size=5))
+def test_common_words_in_any_order_are_counted(rows, others):
+    count = lambda x, y: sum(min(x.count(w), y.count(w)) for w in range(1, 6))
+    got = substring_dedup.common_counts(np.array(rows, np.uint16), np.array(others, np.uint16))
+    assert got.tolist() == [[count(x, y) for y in others] for x in rows]
