@@ -288,7 +288,7 @@ def test_lists_are_probed_at_once(sets, data):
 
 
 def test_passages_of_which_every_part_is_common_elsewhere(spark):
-    """Each run of words that the two of a pair share is in 40 or 600 others, too, so neither is next to
+    """Each run of words that the two of a pair share is in 40 or 1,140 others, too, so neither is next to
     the other in a list."""
     rows, meant = [], set()
     for k in range(3):
@@ -297,7 +297,7 @@ def test_passages_of_which_every_part_is_common_elsewhere(spark):
             rows.append((2 * k + side, f"{prose(9200 + 2 * k + side, 60)}\n" + " ".join(f"{p} odd{k}x{side}x{i}" for i, p in enumerate(parts)) + f"\n{prose(9300 + 2 * k + side, 40)}"))
         meant.add((2 * k, 2 * k + 1))
         rows += [(1000 * (k + 1) + n, " ".join([*(f"a{k}x{n}x{j}" for j in range(30)), p, *(f"b{k}x{n}x{j}" for j in range(30))])) for i, p in enumerate(parts) for n in range(100 * i, 100 * i + 40)]
-        rows += [(10_000 * (k + 1) + n, " ".join([*(f"c{k}x{n}x{j}" for j in range(25)), parts[0], *(f"d{k}x{n}x{j}" for j in range(25))])) for n in range(560 if k == 0 else 0)]
+        rows += [(10_000 * (k + 1) + n, " ".join([*(f"c{k}x{n}x{j}" for j in range(25)), parts[0], *(f"d{k}x{n}x{j}" for j in range(25))])) for n in range(1100 if k == 0 else 0)]
     found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {tuple(sorted((r.doc_id, r.other_doc_id))) for r in found} == meant
     assert all(r.common_words >= 60 for r in found)
@@ -313,6 +313,20 @@ def test_a_passage_of_two_passages_is_reported_whole(spark):
     assert set(one.values()) == {0}  # linked by the documents that have both
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 9), st.lists(st.tuples(st.integers(-2, 2), st.integers(0, 1), st.integers(1, 4), st.integers(0, 9)), max_size=40))
+def test_packed_seeds_keep_every_occurrence(buckets, occurrences):
+    rows = [tuple(np.array(c, np.int64) for c in zip(*([(k, 2 * p + 1, n, pos) for k, p, n, pos in some]))) for some in (occurrences[::2], occurrences[1::2]) if some]
+    batches = [substring_dedup._packed([x], buckets) for x in rows]
+    got = set()
+    for b in batches:
+        for bucket, seed, part, node, times, pos in zip(*(b.column(i).to_pylist() for i in range(6))):
+            own = np.repeat(np.frombuffer(node, np.int64), substring_dedup._of_planes(times))
+            got |= set(zip([bucket] * len(own), substring_dedup._of_planes(part).tolist(), own.tolist(), substring_dedup._of_planes(pos).tolist()))
+            assert len(seed) == substring_dedup.SEED_BYTES * len(own)
+    assert {x[1:] for x in got} == {(2 * p + 1, n, pos) for _, p, n, pos in occurrences} and all(0 <= x[0] < buckets for x in got)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), min_size=7, max_size=7), min_size=1, max_size=5), st.lists(st.lists(st.integers(0, 5), min_size=7, max_size=7), min_size=1, max_size=5))
 def test_common_words_in_any_order_are_counted(rows, others):
